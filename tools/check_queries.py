@@ -68,7 +68,7 @@ def main() -> int:
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
-    spark = build_session(master="local[8]", shuffle_partitions=8, spark__ui__enabled="false", spark__driver__memory="8g")
+    spark = build_session(master="local[8]", shuffle_partitions=8, spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     failed = 0
