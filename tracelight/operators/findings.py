@@ -149,7 +149,7 @@ def detect(record_sets: Iterable[RecordSet], rules: Iterable[Rule], allowlist: A
 
 def base_finding(
     score: Column | int, category: Column | str, rule_id: Column | str, rule_name: Column | str, source_type: str,
-    quality: str, quality_basis: str, part: str, summary: Column, recommendation: str, **fields: Column,
+    quality: str, quality_basis: str, part: str, summary: Column, recommendation: Column | str, **fields: Column,
 ) -> list[Column]:
     """Columns of a finding made by a coded detector; unnamed fields stay NULL."""
     as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
@@ -159,7 +159,7 @@ def base_finding(
         "evidence_quality": F.lit(quality), "evidence_quality_basis": F.lit(quality_basis),
         "score_breakdown": assess.breakdown(**{part: score}), "category": as_column(category),
         "rule_id": as_column(rule_id), "rule_name": as_column(rule_name), "source_type": F.lit(source_type),
-        "evidence_summary": summary, "recommendation": F.lit(recommendation),
+        "evidence_summary": summary, "recommendation": as_column(recommendation),
         "related_ids": F.array().cast("array<string>"), **fields,
     }
     return [

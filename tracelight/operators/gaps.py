@@ -77,8 +77,8 @@ def gap_findings(gaps: DataFrame) -> DataFrame:
     return gaps.select(*base_finding(
         10, "evidence_gap", F.concat(F.lit("GAP-"), token, F.lit("-UNAVAILABLE-001")), "Evidence source unavailable or incomplete",
         "evidence_gap", "Q5", "Q5 collection gap: a requested evidence source could not be read", "base_rule_score", summary,
-        _DEFAULT_ADVICE, finding_id=F.replace(c("gap_id"), F.lit("GAP-"), F.lit("GAP-F-")), timestamp=c("timestamp"),
-        source_file=F.when(text(c("path")) != "", c("path")), recommendation=c("recommendation"),
+        c("recommendation"), finding_id=F.replace(c("gap_id"), F.lit("GAP-"), F.lit("GAP-F-")), timestamp=c("timestamp"),
+        source_file=F.when(text(c("path")) != "", c("path")),
         score_breakdown=assess.breakdown(base_rule_score=10, evidence_gap_discount=-5),
         raw_hash=sha256_hex(F.concat_ws("|", "source", "path", "operation", "message", "timestamp")),
         evidence_chain_level=F.lit("L1"), evidence_chain_basis=F.lit("L1 evidence gap; sources=evidence_gap; related=none"),

@@ -288,12 +288,12 @@ def baseline_downrank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("component_diff", "JN-13 SNK-08", """
-WITH c AS (SELECT *, md5(p_name || p_brand) AS digest, p_type || '|' || p_size AS ident FROM part),
+WITH c AS (SELECT *, md5(p_name || p_brand) AS digest, p_type || '|' || p_size || '|' || p_brand AS ident FROM part),
 old AS (SELECT * FROM c WHERE p_retailprice < 1200)
 SELECT p_partkey FROM c WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.digest = c.digest) AND NOT EXISTS (SELECT 1 FROM old WHERE lower(old.ident) = lower(c.ident))""")
 def component_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").withColumn("sha256", F.md5(F.concat("p_name", "p_brand")))
-    return B.component_diff(parts, parts.where("p_retailprice < 1200"), ["p_type", "p_size"]).select("p_partkey")
+    return B.component_diff(parts, parts.where("p_retailprice < 1200"), ["p_type", "p_size", "p_brand"]).select("p_partkey")
 
 
 @query("hidden_processes", "JN-14", """
