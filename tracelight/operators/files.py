@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelight.functions import assess
 from tracelight.functions.values import contains_any, holds
@@ -117,7 +118,12 @@ def measure(content: bytes) -> tuple[float, float, int]:
     return _entropy(data), max((_entropy(x) for x in lines), default=0.0), _longest_run(_BASE64[data])
 
 
-@F.pandas_udf("entropy double, max_line_entropy double, base64_run int")
+_MEASURES = T.StructType([
+    T.StructField("entropy", T.DoubleType()), T.StructField("max_line_entropy", T.DoubleType()), T.StructField("base64_run", T.IntegerType()),
+])
+
+
+@F.pandas_udf(_MEASURES)
 def content_measures(content: pd.Series) -> pd.DataFrame:
     """Byte entropy, highest line entropy (lines of 40 bytes or more) and longest base64 run."""
     rows = [measure(bytes(c)) if c is not None else (None, None, None) for c in content]
