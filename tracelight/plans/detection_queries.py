@@ -15,6 +15,7 @@ from tracelight.operators.rollups import source_stats
 from tracelight.plans.registry import WEB_SQL, clf_line, event_micros, http_events, query, table, web_view
 from tracelight.rules.catalog import BUILTIN, WEB_RULES
 from tracelight.rules.model import Adjustment, Condition, Rule
+from tracelight.session import cut_lineage
 from tracelight.sources.lines import lines_from
 from tracelight.sources.web import parse_access
 
@@ -40,9 +41,9 @@ def failed_login_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: log lines to typed events, windowed failure counts, rule, findings, source statistics."""
     web = web_view(spark, sf_dir)
     lines = lines_from(web, clf_line(), F.col("file"), F.col("event_id"))
-    events = parse_access(lines).events
+    events = cut_lineage(parse_access(lines).events)  # typed events are written once and read several times
     hits = shape_hits(match_rules(http_records(events), [_BY_ID["WEB-BRUTE-001"]]))
-    findings = group_findings(hits, WEB_RULES, number=False)
+    findings = cut_lineage(group_findings(hits, WEB_RULES, number=False))
     return source_stats(findings).select(
         "remote_ip", "findings", "total_score", "max_score", "highest_severity", "categories", "top_paths", "first_seen", "last_seen"
     )

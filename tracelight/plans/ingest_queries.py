@@ -228,9 +228,9 @@ def audit_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {WEB_SQL}
 SELECT event_id, stamp AS timestamp, CASE WHEN event_id % 2 = 0 THEN 'nginx.service' ELSE 'cron.service' END AS unit,
   CASE WHEN event_id % 2 = 0 THEN 'uid=' || user_id END AS user, 'service_started' AS action,
-  CASE WHEN event_id % 2 = 0 THEN 'nginx' ELSE 'systemd' END AS process_name FROM web""")
+  CASE WHEN event_id % 2 = 0 THEN 'nginx' ELSE substr(stamp, 12, 2) END AS process_name FROM web""")
 def journald_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view = web_view(spark, sf_dir).withColumn("uid", F.when(F.col("user_id").isin(33, 48), F.col("user_id")).otherwise(F.col("user_id")))
+    view = web_view(spark, sf_dir)
     as_json = F.to_json(F.struct(
         (F.col("sec") * 1_000_000).cast("string").alias("__REALTIME_TIMESTAMP"), F.lit("Started nginx").alias("MESSAGE"), F.lit("nginx.service").alias("_SYSTEMD_UNIT"),
         _s("user_id").alias("_UID"), F.lit("nginx").alias("_COMM")))
@@ -528,7 +528,7 @@ def spring_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = web_view(spark, sf_dir).where(~F.col("path").contains(".."))
     line = F.concat(F.lit("Mapped {"), F.col("method"), F.lit(" ["), F.col("path"), F.lit("]} onto com.acme.ItemController"))
     rows = webconfig.spring_mappings_from_logs(_lines(view, line, _s("event_id")))
-    return rows.select(F.col("source_file").cast("bigint").alias("event_id"), "http_method", F.col("route_or_pattern").alias("route"), "class_name") if "http_method" in rows.columns else rows
+    return rows.select(F.col("source_file").cast("bigint").alias("event_id"), "http_method", F.col("route_or_pattern").alias("route"), "class_name")
 
 
 @query("login_records", "SRC-27 SRC-28", f"""

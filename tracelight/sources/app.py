@@ -12,7 +12,7 @@ from tracelight.functions.values import let
 from tracelight.operators.ordered import carry_forward
 from tracelight.schema import APP_EVENT
 from tracelight.sources.jsonfields import pick, with_fields
-from tracelight.sources.lines import Parsed, finish
+from tracelight.sources.lines import Parsed, finish, parse_cases
 
 REDACTED = ("logger", "exception_type", "message_summary", "request_id", "trace_id", "http_path", "user_summary")
 MESSAGE_CAP = 2000
@@ -132,14 +132,13 @@ def _text_columns(df: DataFrame, tz_offset: str) -> DataFrame:
 def parse_app(lines: DataFrame, tz_offset: str = "+00:00", redact_secrets: bool = False) -> Parsed:
     """Application log lines; a line with neither timestamp nor level continues the event before it."""
     staged = lines.withColumn("_text", F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")))
-    is_json = F.col("_text").startswith("{")
-    merged = _json_columns(staged.where(is_json), tz_offset).unionByName(
-        _text_columns(staged.where(~is_json), tz_offset), allowMissingColumns=True
-    )
     bare = leading_stamp(F.col("text"), tz_offset).isNull() & level(F.col("text")).isNull()
-    folded = fold_continuations(merged.withColumn("_bare", bare))
-    hashed = folded.withColumnRenamed("raw_hash", "_line_hash").withColumn("raw_hash", sha256_hex(F.col("_text")))
-    return finish(hashed, APP_EVENT, parser=F.lit("app_log"), redacted=REDACTED, redact_secrets=redact_secrets)
+    cases = [
+        (F.col("_text").startswith("{"), lambda df: _json_columns(df, tz_offset)), (F.lit(True), lambda df: _text_columns(df, tz_offset)),
+    ]
+    merged = parse_cases(staged.withColumn("_bare", bare), "_text", cases, APP_EVENT)
+    folded = fold_continuations(merged).withColumn("raw_hash", sha256_hex(F.col("_text")))
+    return finish(folded, APP_EVENT, parser=F.lit("app_log"), redacted=REDACTED, redact_secrets=redact_secrets)
 
 
 def fold_continuations(parsed: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from tracelight.functions.times import naive_iso
 from tracelight.functions.values import let
 from tracelight.schema import DB_EVENT
 from tracelight.sources.jsonfields import to_f64, to_u64, with_fields
-from tracelight.sources.lines import Parsed, finish
+from tracelight.sources.lines import Parsed, finish, parse_cases
 
 REDACTED = ("db_user", "db_name", "statement_summary", "error_code")
 
@@ -189,21 +189,19 @@ def parse_db(lines: DataFrame, db_type: str | None = None, tz_offset: str = "+00
     dialects could add nothing; undetermined and MariaDB lines are read as MySQL.
     """
     tagged = lines.withColumn("_dialect", _dialect(db_type))
-    is_json = F.ltrim("text").startswith("{")
-    dialect = F.col("_dialect")
-    mysql = dialect.isin("mysql", "mariadb", "auto")
-    pieces = [
-        _mysql_text(tagged.where(mysql & ~is_json), tz_offset),
-        _json(tagged.where(mysql & is_json), ["statement", "query", "sql", "message"], ["user"], ["db", "database"],
-              ["client_ip", "ip"], ["session_id", "thread_id"], ["duration_ms", "query_time_ms"], ["severity"], "database", tz_offset),
-        _postgres_text(tagged.where((dialect == "postgresql") & ~is_json), tz_offset),
-        _json(tagged.where((dialect == "postgresql") & is_json), ["statement", "message"], ["user", "username"],
-              ["database", "db"], ["client_ip", "remote_host"], ["session_id"], ["duration_ms"], ["level", "severity"], "PostgreSQL", tz_offset),
-        _mssql_text(tagged.where(dialect == "mssql"), tz_offset),
+    is_json, dialect = F.ltrim("text").startswith("{"), F.col("_dialect")
+    postgres, mssql = dialect == "postgresql", dialect == "mssql"
+    cases = [
+        (mssql, lambda df: _mssql_text(df, tz_offset)),
+        (postgres & is_json, lambda df: _json(
+            df, ["statement", "message"], ["user", "username"], ["database", "db"], ["client_ip", "remote_host"], ["session_id"],
+            ["duration_ms"], ["level", "severity"], "PostgreSQL", tz_offset)),
+        (postgres, lambda df: _postgres_text(df, tz_offset)),
+        (is_json, lambda df: _json(
+            df, ["statement", "query", "sql", "message"], ["user"], ["db", "database"], ["client_ip", "ip"], ["session_id", "thread_id"],
+            ["duration_ms", "query_time_ms"], ["severity"], "database", tz_offset)),
+        (F.lit(True), lambda df: _mysql_text(df, tz_offset)),
     ]
-    merged = pieces[0]
-    for piece in pieces[1:]:
-        merged = merged.unionByName(piece, allowMissingColumns=True)
-    named = merged.withColumn("db_type", F.when(dialect.isin("mysql", "auto", "mariadb"), "mysql").otherwise(dialect))
-    hashed = named.withColumnRenamed("raw_hash", "_line_hash").withColumn("raw_hash", sha256_hex(F.col("text")))
-    return finish(hashed, DB_EVENT, parser="db_log", redacted=REDACTED, redact_secrets=redact_secrets)
+    merged = parse_cases(tagged, "text", cases, DB_EVENT)
+    named = merged.withColumn("db_type", F.when(F.col("_dialect").isin("postgresql", "mssql"), F.col("_dialect")).otherwise("mysql"))
+    return finish(named.withColumn("raw_hash", sha256_hex(F.col("text"))), DB_EVENT, parser="db_log", redacted=REDACTED, redact_secrets=redact_secrets)

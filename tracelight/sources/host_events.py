@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from tracelight.functions.text import extract, sha256_hex
 from tracelight.functions.times import audit_iso, instant, micros_iso, syslog_iso
 from tracelight.functions.values import let
-from tracelight.schema import CONTAINER_LOG, LINUX_EVENT, WINDOWS_EVENT, conform
+from tracelight.schema import CONTAINER_LOG, LINUX_EVENT, WINDOWS_EVENT
 from tracelight.sources.jsonfields import json_map, lower_keys
-from tracelight.sources.lines import BROADCAST_SPLITS, Parsed, finish, splits_of
+from tracelight.sources.lines import BROADCAST_SPLITS, Parsed, finish, parse_cases, splits_of
 
 _AUDIT_PAIR = r"""([A-Za-z0-9_]+)=("[^"]*"|'[^']*'|\S+)"""
 
@@ -118,9 +118,9 @@ def _auth_columns(df: DataFrame, now: datetime, tz_offset: str) -> DataFrame:
         F.rtrim(F.trim(F.when(lowered.contains("started "), F.regexp_replace(line, r"(?is)^.*?started ", "")).otherwise(
             F.regexp_replace(line, r"(?is)^.*?failed to start ", ""))), F.lit(".")), r"^(\S+)", 1)
     command = F.when(sudo, bounded(extract(line, r"(?s)COMMAND=\s*(\S.*)$"))).when(cron, F.trim(extract(line, r"(?s)(CMD.*)$")))
-    staged = df.withColumn("action", action).withColumn("_kind_service", ~login & ~sudo & ~cron & service)
-    staged = staged.withColumn("command_line_summary", F.when(~login, command)).withColumn(
-        "unit", F.when(F.col("_kind_service") & (unit != ""), unit)
+    plain_service = ~login & ~sudo & ~cron & service
+    staged = df.withColumn("action", action).withColumn("command_line_summary", F.when(~login, command)).withColumn(
+        "unit", F.when(plain_service & (unit != ""), unit)
     )
     return staged.select(
         *df.columns, _syslog_stamp(line, now, tz_offset).alias("timestamp"), F.lit("auth_log").alias("source"), "unit",
@@ -129,8 +129,8 @@ def _auth_columns(df: DataFrame, now: datetime, tz_offset: str) -> DataFrame:
         "command_line_summary", F.when(login, extract(line, r"\bfrom ([0-9a-fA-F:.]+)")).alias("src_ip"), "action",
         F.coalesce("command_line_summary", "unit").alias("object_path"),
         F.when(failed, "failure").when(accepted | sudo, "success").alias("result"), F.lit(0.75).alias("parser_confidence"),
-        F.lit(None).cast("string").alias("_error"),
-    ).where(F.col("action").isNotNull())
+        F.lit(None).cast("string").alias("_error"), F.col("action").isNull().alias("_skip"),
+    )
 
 
 def _trimmed(lines: DataFrame) -> DataFrame:
@@ -138,19 +138,19 @@ def _trimmed(lines: DataFrame) -> DataFrame:
 
 
 def _done(df: DataFrame, schema, prefix: str, parser: str) -> Parsed:
-    hashed = df.withColumnRenamed("raw_hash", "_line_hash").withColumn("raw_hash", sha256_hex(F.col("_text")))
+    kept = df if "_line_hash" in df.columns else df.withColumnRenamed("raw_hash", "_line_hash")
+    hashed = kept.withColumn("raw_hash", sha256_hex(F.col("_text")))
     named = hashed.withColumn("event_id", F.concat(F.lit(prefix), F.substring("raw_hash", 1, 16)))
     return finish(named, schema, parser=F.lit(parser))
 
 
 def parse_audit(lines: DataFrame, now: datetime, tz_offset: str = "+00:00") -> Parsed:
     """auditd records and auth/syslog lines; other lines are ignored."""
-    staged = _trimmed(lines)
-    audit = F.col("_text").contains("type=") & F.col("_text").contains("msg=audit(")
-    merged = _audit_columns(staged.where(audit)).unionByName(
-        _auth_columns(staged.where(~audit), now, tz_offset), allowMissingColumns=True
-    )
-    return _done(merged, LINUX_EVENT, "LNX-", "linux_audit")
+    line = F.col("_text")
+    cases = [
+        (line.contains("type=") & line.contains("msg=audit("), _audit_columns), (F.lit(True), lambda df: _auth_columns(df, now, tz_offset)),
+    ]
+    return _done(parse_cases(_trimmed(lines), "_text", cases, LINUX_EVENT), LINUX_EVENT, "LNX-", "linux_audit")
 
 
 def _journal_action(message: Column) -> Column:
@@ -166,17 +166,14 @@ def _unit_in(message: Column) -> Column:
     return extract(message, r"(?i)\b([A-Za-z0-9_.@-]+\.(?:service|timer|socket))\b")
 
 
-def parse_journald(lines: DataFrame, now: datetime, tz_offset: str = "+00:00") -> Parsed:
-    """journald JSON exports and text output; text lines of other programs are ignored."""
-    staged = _trimmed(lines)
-    is_json = F.col("_text").startswith("{")
-    js = staged.where(is_json).withColumn("_m", json_map(F.col("_text")))
+def _journal_json(df: DataFrame) -> DataFrame:
+    js = df.withColumn("_m", json_map(F.col("_text")))
     get = lambda *keys: F.coalesce(*[
         let(F.trim(F.try_element_at("_m", F.lit(k))), lambda v: F.when((v != "") & ~v.rlike(r"^[\[{]"), v)) for k in keys
     ])
     js = js.withColumn("_msg", get("MESSAGE")).withColumn("_stamp", get("timestamp", "__REALTIME_TIMESTAMP"))
-    from_json = js.select(
-        *staged.columns,
+    return js.select(
+        *df.columns,
         F.coalesce(F.when(F.col("_stamp").contains("T"), F.col("_stamp")), micros_iso(F.col("_stamp")),
                    micros_iso(get("_SOURCE_REALTIME_TIMESTAMP"))).alias("timestamp"),
         F.lit("journald").alias("source"), F.coalesce(get("_SYSTEMD_UNIT", "UNIT"), _unit_in(F.col("_msg"))).alias("unit"),
@@ -185,20 +182,28 @@ def parse_journald(lines: DataFrame, now: datetime, tz_offset: str = "+00:00") -
         _journal_action(F.col("_msg")).alias("action"), F.col("_msg").alias("object_path"), F.lit(0.8).alias("parser_confidence"),
         F.when(F.col("_m").isNull(), "invalid journald JSON record").alias("_error"),
     )
-    known = F.lower("_text").rlike("systemd|sshd|cron|sudo")
+
+
+def _journal_text(df: DataFrame, now: datetime, tz_offset: str) -> DataFrame:
     line = F.col("_text")
-    tx = staged.where(~is_json & known).withColumn(
-        "_msg", F.when(line.contains(": "), F.regexp_replace(line, r"(?s)^.*?: ", "")).otherwise(line)
-    )
-    from_text = tx.select(
-        *staged.columns, _syslog_stamp(line, now, tz_offset).alias("timestamp"), F.lit("journald").alias("source"),
+    staged = df.withColumn("_msg", F.when(line.contains(": "), F.regexp_replace(line, r"(?s)^.*?: ", "")).otherwise(line))
+    return staged.select(
+        *df.columns, _syslog_stamp(line, now, tz_offset).alias("timestamp"), F.lit("journald").alias("source"),
         _unit_in(F.col("_msg")).alias("unit"), extract(line, r"\[(\d+)\]:").alias("pid"),
         extract(line, r"\s([A-Za-z0-9_.@-]+)(?:\[\d+\])?:").alias("process_name"),
         bounded(F.col("_msg")).alias("command_line_summary"), extract(line, r"\bfrom ([0-9a-fA-F:.]+)").alias("src_ip"),
         _journal_action(F.col("_msg")).alias("action"), F.col("_msg").alias("object_path"), F.lit(0.7).alias("parser_confidence"),
         F.lit(None).cast("string").alias("_error"),
     )
-    return _done(from_json.unionByName(from_text, allowMissingColumns=True), LINUX_EVENT, "LNX-", "journald")
+
+
+def parse_journald(lines: DataFrame, now: datetime, tz_offset: str = "+00:00") -> Parsed:
+    """journald JSON exports and text output; text lines of other programs are ignored."""
+    cases = [
+        (F.col("_text").startswith("{"), _journal_json),
+        (F.lower("_text").rlike("systemd|sshd|cron|sudo"), lambda df: _journal_text(df, now, tz_offset)),
+    ]
+    return _done(parse_cases(_trimmed(lines), "_text", cases, LINUX_EVENT), LINUX_EVENT, "LNX-", "journald")
 
 
 # What a Windows event code stands for.
@@ -382,29 +387,34 @@ def windows_json_array(files: DataFrame) -> DataFrame:
     ).select("source_file", (F.col("_pos") + 1).cast("long").alias("line_number"), "text")
 
 
-def parse_container_log(lines: DataFrame, runtime: str) -> Parsed:
-    """Container stdout: JSON envelopes and plain text."""
-    staged = _trimmed(lines)
-    is_json = F.col("_text").startswith("{")
-    js = staged.where(is_json).withColumn("_m", json_map(F.col("_text")))
+def _container_json(df: DataFrame) -> DataFrame:
+    js = df.withColumn("_m", json_map(F.col("_text")))
     js = js.withColumn("_k", json_map(F.coalesce(F.try_element_at("_m", F.lit("kubernetes")), F.lit(""))))
     scalar = lambda v: let(F.trim(v), lambda t: F.when((t != "") & ~t.startswith("{"), t))
     get = lambda *keys: F.coalesce(*[scalar(F.try_element_at("_m", F.lit(k))) for k in keys])
     kube = lambda key: F.coalesce(scalar(F.try_element_at("_m", F.lit(f"kubernetes.{key}"))), scalar(F.try_element_at("_k", F.lit(key))))
-    from_json = js.select(
-        *staged.columns, get("time", "timestamp", "@timestamp", "ts").alias("timestamp"),
+    return js.select(
+        *df.columns, get("time", "timestamp", "@timestamp", "ts").alias("timestamp"),
         get("container_id", "containerID", "id").alias("container_id"), get("container_name", "container", "name").alias("container_name"),
         F.coalesce(get("pod_name", "pod"), kube("pod_name")).alias("pod_name"),
         F.coalesce(get("namespace"), kube("namespace_name")).alias("namespace"), get("stream", "source").alias("stream"),
         bounded(F.coalesce(get("log", "message", "msg", "MESSAGE", "content", "line"), F.col("_text")), 300).alias("message_summary"),
         F.lit(0.85).alias("parser_confidence"), F.when(F.col("_m").isNull(), "invalid container log JSON record").alias("_error"),
     )
+
+
+def _container_text(df: DataFrame) -> DataFrame:
     first = F.regexp_extract("_text", r"^(\S+)", 1)
-    from_text = staged.where(~is_json).select(
-        *staged.columns, F.when(first.rlike("T|-"), first).alias("timestamp"), bounded(F.col("_text"), 300).alias("message_summary"),
+    return df.select(
+        *df.columns, F.when(first.rlike("T|-"), first).alias("timestamp"), bounded(F.col("_text"), 300).alias("message_summary"),
         F.lit(0.65).alias("parser_confidence"), F.lit(None).cast("string").alias("_error"),
     )
-    merged = from_json.unionByName(from_text, allowMissingColumns=True).withColumn("runtime", F.lit(runtime))
+
+
+def parse_container_log(lines: DataFrame, runtime: str) -> Parsed:
+    """Container stdout: JSON envelopes and plain text."""
+    cases = [(F.col("_text").startswith("{"), _container_json), (F.lit(True), _container_text)]
+    merged = parse_cases(_trimmed(lines), "_text", cases, CONTAINER_LOG).withColumn("runtime", F.lit(runtime))
     return _done(merged, CONTAINER_LOG, "CTR-LOG-", "container_log")
 
 

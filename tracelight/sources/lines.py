@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from tracelight.functions.text import redact, sha256_hex
 from tracelight.schema import PARSE_ERROR, conform
@@ -101,9 +102,54 @@ def line_rejects(lines: DataFrame, parser: Column | str) -> DataFrame:
     return lines.withColumn("message", F.explode(problems)).withColumn("parser_name", name)
 
 
+def settled(df: DataFrame, columns: Sequence[Column | str] | None = None) -> DataFrame:
+    """Same rows with every column computed once here: later filters are not pushed into the parsing expressions."""
+    row = F.struct(*(columns or df.columns))
+    return df.select(F.explode(F.array(row)).alias("_row")).select("_row.*")
+
+
+def parse_cases(lines: DataFrame, text: str, cases: Sequence[tuple[Column, Callable[[DataFrame], DataFrame]]],
+                schema: StructType) -> DataFrame:
+    """Parse every line by the first case whose condition holds, reading the lines once.
+
+    A case adds the columns of ``schema`` it knows plus ``_error`` and, for lines it ignores, ``_skip``.
+    It sees NULL text for lines of other cases, and only the chosen case is evaluated per line.
+    """
+    fields = [*schema.fields, StructField("_error", StringType()), StructField("_skip", BooleanType())]
+    choice = None
+    for index, (condition, _) in enumerate(cases):
+        choice = F.when(condition, index) if choice is None else choice.when(condition, index)
+    provenance = [c for c in lines.columns if c != text]
+    df = lines.withColumn("_case", choice).withColumn("_whole", F.col(text))
+    structs: list[str] = []
+    for index, (_, parse) in enumerate(cases):
+        masked = df.withColumn(text, F.when(F.col("_case") == index, F.col("_whole")))
+        parsed = parse(masked)
+        added = set(parsed.columns) - set(masked.columns)
+        cells = [
+            (F.col(f.name).cast(f.dataType) if f.name in added else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields
+        ]
+        df = parsed.select(*df.columns, F.struct(*cells).alias(f"_s{index}"))
+        structs.append(f"_s{index}")
+    chosen = None
+    for index, name in enumerate(structs):
+        chosen = F.when(F.col("_case") == index, F.col(name)) if chosen is None else chosen.when(F.col("_case") == index, F.col(name))
+    taken = {f.name for f in fields}
+    kept = [c for c in provenance if c not in taken]
+    own = [F.col(c) for c in kept] + [F.col("_whole").alias(text)]
+    # provenance columns that are also event columns (file, line) come from the line
+    shared = [f.name for f in schema.fields if f.name in provenance and f.name != "raw_hash"]
+    hashed = [F.col("raw_hash").alias("_line_hash")] if "raw_hash" in provenance else []
+    flat = df.where(F.col("_case").isNotNull()).select(
+        F.explode(F.array(F.struct(*own, *[F.col(c) for c in shared], *hashed, chosen.alias("_v")))).alias("_row")).select("_row.*")
+    rest = [f"_v.{f.name}" for f in fields if f.name not in shared and f.name != "raw_hash"]
+    return flat.select(*kept, text, *shared, *[c for c in ("_line_hash",) if hashed], *rest).where(~F.coalesce("_skip", F.lit(False))).drop("_skip")
+
+
 def finish(staged: DataFrame, event_schema, error: str = "_error", parser: Column | str = "parser_name",
            redacted: Sequence[str] = (), redact_secrets: bool = False) -> Parsed:
     """Split parsed rows into events (no error) and rejects."""
+    staged = settled(staged)
     events = conform(staged.where(F.col(error).isNull()), event_schema)
     if redact_secrets:
         for name in redacted:

@@ -10,7 +10,7 @@ from tracelight.functions.times import naive_iso
 from tracelight.functions.values import let
 from tracelight.schema import WAF_EVENT
 from tracelight.sources.jsonfields import pick, to_f64, to_u16, with_fields
-from tracelight.sources.lines import Parsed, finish
+from tracelight.sources.lines import Parsed, finish, parse_cases
 
 REDACTED = ("vendor", "action", "rule_id", "rule_name", "client_ip", "proxy_ip", "host", "method", "path")
 _PAIR = r"""([^\s=]*)=(?:"([^"]*)"?|'([^']*)'?|(\S*))"""
@@ -124,12 +124,11 @@ def _pair_columns(df: DataFrame, tz_offset: str) -> DataFrame:
 def parse_waf(lines: DataFrame, tz_offset: str = "+00:00", redact_secrets: bool = False) -> Parsed:
     """WAF/CDN lines; each line is JSON, bracket style or key=value."""
     staged = lines.withColumn("_text", F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")))
-    is_json = F.col("_text").startswith("{")
-    is_bracket = ~is_json & F.lower("_text").contains("modsecurity")
-    merged = (
-        _json_columns(staged.where(is_json), tz_offset)
-        .unionByName(_bracket_columns(staged.where(is_bracket), tz_offset), allowMissingColumns=True)
-        .unionByName(_pair_columns(staged.where(~is_json & ~is_bracket), tz_offset), allowMissingColumns=True)
-    )
-    hashed = merged.withColumnRenamed("raw_hash", "_line_hash").withColumn("raw_hash", sha256_hex(F.col("_text")))
-    return finish(hashed, WAF_EVENT, parser=F.lit("waf_log"), redacted=REDACTED, redact_secrets=redact_secrets)
+    line = F.col("_text")
+    cases = [
+        (line.startswith("{"), lambda df: _json_columns(df, tz_offset)),
+        (F.lower(line).contains("modsecurity"), lambda df: _bracket_columns(df, tz_offset)),
+        (F.lit(True), lambda df: _pair_columns(df, tz_offset)),
+    ]
+    merged = parse_cases(staged, "_text", cases, WAF_EVENT).withColumn("raw_hash", sha256_hex(line))
+    return finish(merged, WAF_EVENT, parser=F.lit("waf_log"), redacted=REDACTED, redact_secrets=redact_secrets)

@@ -11,7 +11,7 @@ from tracelight.functions.values import dash_to_null, let
 from tracelight.operators.ordered import carry_forward
 from tracelight.schema import HTTP_EVENT
 from tracelight.sources.jsonfields import pick_text, to_f64, to_u16, to_u64, with_fields
-from tracelight.sources.lines import Parsed, finish
+from tracelight.sources.lines import Parsed, finish, parse_cases
 
 REDACTED = ("uri_query", "referer", "user_agent", "host", "xff_ip")
 _QUOTED = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
@@ -102,8 +102,8 @@ def _iis_columns(df: DataFrame, tz_offset: str) -> DataFrame:
 
 
 def _done(df: DataFrame, redact_secrets: bool) -> Parsed:
-    hashed = df.withColumnRenamed("raw_hash", "_line_hash").withColumn("raw_hash", sha256_hex(F.col("text")))
-    return finish(hashed, HTTP_EVENT, redacted=REDACTED, redact_secrets=redact_secrets)
+    kept = df if "_line_hash" in df.columns else df.withColumnRenamed("raw_hash", "_line_hash")
+    return finish(kept.withColumn("raw_hash", sha256_hex(F.col("text"))), HTTP_EVENT, redacted=REDACTED, redact_secrets=redact_secrets)
 
 
 def parse_access(lines: DataFrame, tz_offset: str = "+00:00", redact_secrets: bool = False) -> Parsed:
@@ -165,11 +165,9 @@ def parse_web(lines: DataFrame, tz_offset: str = "+00:00", redact_secrets: bool
     """Mixed access-log files, each in its detected format."""
     tagged = carry_forward(with_format(lines), "source_file", "line_number", {"_fields": _iis_header(F.col("text"))})
     data = tagged.where(~F.col("text").startswith("#"))
-    branch = lambda kind: data.where(F.col("_format") == kind).drop("_format")
-    pieces = [
-        _common_columns(branch("common").drop("_fields"), tz_offset),
-        _json_columns(branch("json").drop("_fields"), tz_offset),
-        _iis_columns(branch("iis"), tz_offset).drop("_fields"),
+    kind = F.col("_format")
+    cases = [
+        (kind == "common", lambda df: _common_columns(df, tz_offset)), (kind == "json", lambda df: _json_columns(df, tz_offset)),
+        (kind == "iis", lambda df: _iis_columns(df, tz_offset)),
     ]
-    merged = pieces[0].unionByName(pieces[1], allowMissingColumns=True).unionByName(pieces[2], allowMissingColumns=True)
-    return _done(merged, redact_secrets)
+    return _done(parse_cases(data, "text", cases, HTTP_EVENT), redact_secrets)

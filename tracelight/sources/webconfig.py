@@ -104,12 +104,12 @@ def parse_tomcat_xml(files: DataFrame) -> DataFrame:
     return _finish(rows, "tomcat", flags, F.col("url_pattern"))
 
 
-def _finish(rows: DataFrame, runtime: str, flags: Column, route: Column) -> DataFrame:
+def _finish(rows: DataFrame, runtime: str, flags: Column, route: Column, also: tuple[str, ...] = ()) -> DataFrame:
     flagged = rows.withColumn("risk_flags", flags).withColumn("runtime_type", F.lit(runtime)).withColumn("route_or_pattern", route)
     ident = component_id(F.lit(runtime), F.col("component_type"), F.col("name"), F.col("class_name"), F.col("route_or_pattern"), F.col("source_file"), F.col("sha256"))
     return flagged.withColumn("confidence", confidence_for_flags(F.col("risk_flags"))).withColumn("component_id", ident).select(
         "component_id", "runtime_type", "component_type", "name", "class_name", "route_or_pattern", "source_file", "mtime", "sha256",
-        "is_recent", F.lit(False).alias("is_baseline_new"), "risk_flags", "confidence", F.lit(0).cast("bigint").alias("line_number"))
+        "is_recent", F.lit(False).alias("is_baseline_new"), "risk_flags", "confidence", F.lit(0).cast("bigint").alias("line_number"), *also)
 
 
 def parse_iis_config(files: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def _mapping_rows(rows: DataFrame, source: str, *extra: str) -> DataFrame:
         F.when(F.col("route").rlike("/actuator|/env|/heapdump"), F.lit("management_endpoint_exposure"))])
     shaped = rows.withColumn("component_type", F.lit("controller")).withColumn("name", F.col("route")).withColumn("sha256", F.lit("")).withColumn(
         "mtime", F.lit("unknown")).withColumn("is_recent", F.lit(False))
-    return _finish(shaped, "spring", flags, F.col("route")).withColumn("source", F.lit(source))
+    return _finish(shaped, "spring", flags, F.col("route"), ("http_method",)).withColumn("source", F.lit(source))
 
 
 def spring_mappings_from_logs(lines: DataFrame) -> DataFrame:
