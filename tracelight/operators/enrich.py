@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelight.functions import assess
+from tracelight.functions.frames import settled
 from tracelight.functions.net import Network, cidr_range, in_networks, ip_key, is_v4_key, key_text
 from tracelight.functions.text import domain_host, sha256_hex
 from tracelight.functions.values import let, text
@@ -68,13 +69,13 @@ def infer_clients(events: DataFrame, trusted_proxies: Iterable[str]) -> DataFram
 
 def with_ranges(networks: DataFrame, column: str = "network") -> DataFrame:
     """Adds ``low, high, v4`` and the shared hex prefix ``_key`` of a network table; unreadable rows are dropped."""
-    ranged = networks.withColumn("_r", cidr_range(F.col(column))).where(F.col("_r").isNotNull()).select("*", "_r.*").drop("_r")
+    ranged = settled(networks.withColumn("_r", cidr_range(F.col(column)))).where(F.col("_r").isNotNull()).select("*", "_r.*").drop("_r")
     # digits shared by both ends: every address of the network starts with them
     shared = F.aggregate(
         F.sequence(F.lit(1), F.lit(32)), F.lit(0),
         lambda n, i: F.when((n == i - 1) & (F.substring("low", F.lit(1), i) == F.substring("high", F.lit(1), i)), i).otherwise(n),
     )
-    return ranged.withColumn("_digits", shared).withColumn("_key", F.substring("low", F.lit(1), F.col("_digits")))
+    return settled(ranged.withColumn("_digits", shared)).withColumn("_key", F.substring("low", F.lit(1), F.col("_digits")))
 
 
 def _networks_of(keys: DataFrame, ranged: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def _networks_of(keys: DataFrame, ranged: DataFrame) -> DataFrame:
     digits = sorted(row[0] for row in ranged.select("_digits").distinct().collect())  # at most 33 values
     if not digits:
         digits = [32]
-    probes = keys.withColumn("_digits", F.explode(F.array(*[F.lit(d) for d in digits]))).withColumn(
+    probes = keys.select("_ip_key").withColumn("_digits", F.explode(F.array(*[F.lit(d) for d in digits]))).withColumn(
         "_key", F.substring("_ip_key", F.lit(1), F.col("_digits"))
     )
     inside = F.col("_ip_key").between(F.col("low"), F.col("high")) & (F.col("v4") | ~is_v4_key(F.col("_ip_key")))
@@ -91,7 +92,7 @@ def _networks_of(keys: DataFrame, ranged: DataFrame) -> DataFrame:
 
 def first_network(addresses: DataFrame, column: str, networks: DataFrame, order: str = "file_order") -> DataFrame:
     """Distinct addresses with the columns of the first network, in file order, that contains them."""
-    keys = addresses.select(column).distinct().withColumn("_ip_key", ip_key(F.col(column))).where(F.col("_ip_key").isNotNull())
+    keys = settled(addresses.select(column).distinct().withColumn("_ip_key", ip_key(F.col(column)))).where(F.col("_ip_key").isNotNull())
     ranged = with_ranges(networks)
     payload = [c for c in networks.columns if c not in ("network", order)]
     met = _networks_of(keys.select("_ip_key").distinct(), ranged)
@@ -126,9 +127,9 @@ def match_values(candidates: DataFrame, indicators: DataFrame) -> DataFrame:
     distinct = candidates.select("field", "value").where(F.col("value").isNotNull()).distinct()
     kind = lambda name: indicators.where(F.col("indicator_type") == name)
     of = lambda *fields: distinct.where(F.col("field").isin(*fields))
-    addresses = of("remote_ip", "db_client_ip").withColumn("_ip_key", ip_key(F.col("value"))).where(F.col("_ip_key").isNotNull())
+    addresses = settled(of("remote_ip", "db_client_ip").withColumn("_ip_key", ip_key(F.col("value")))).where(F.col("_ip_key").isNotNull())
 
-    by_ip = addresses.join(kind("ip").select("seq", ip_key(F.col("value")).alias("_ip_key")), "_ip_key")
+    by_ip = addresses.join(settled(kind("ip").select("seq", ip_key(F.col("value")).alias("_ip_key"))), "_ip_key")
     ranged = with_ranges(kind("cidr").select("seq", F.col("value").alias("network")))
     by_cidr = addresses.join(_networks_of(addresses.select("_ip_key").distinct(), ranged), "_ip_key")
     domain = lambda c: F.lower(F.rtrim(F.trim(c), F.lit(".")))

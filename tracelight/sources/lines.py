@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
+from tracelight.functions.frames import settled
 from tracelight.functions.text import redact, sha256_hex
 from tracelight.schema import PARSE_ERROR, conform
 
@@ -102,12 +103,6 @@ def line_rejects(lines: DataFrame, parser: Column | str) -> DataFrame:
     return lines.withColumn("message", F.explode(problems)).withColumn("parser_name", name)
 
 
-def settled(df: DataFrame, columns: Sequence[Column | str] | None = None) -> DataFrame:
-    """Same rows with every column computed once here: later filters are not pushed into the parsing expressions."""
-    row = F.struct(*(columns or df.columns))
-    return df.select(F.explode(F.array(row)).alias("_row")).select("_row.*")
-
-
 def parse_cases(lines: DataFrame, text: str, cases: Sequence[tuple[Column, Callable[[DataFrame], DataFrame]]],
                 schema: StructType) -> DataFrame:
     """Parse every line by the first case whose condition holds, reading the lines once.
