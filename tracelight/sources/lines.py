@@ -62,9 +62,9 @@ def splits_of(scan: DataFrame) -> int:
 
 def decode_lines(raw: DataFrame) -> DataFrame:
     """Adds hash, length and damage flags to ``(source_file, line_number, value)`` and drops blank lines."""
-    body = F.regexp_replace(F.col("value"), r"[\r\n]+$", "")
+    body = F.rtrim(F.col("value"), F.lit("\r\n"))  # keeps the raw bytes, which a regular expression would decode
     size = F.octet_length(body)
-    capped = F.when(size > MAX_LINE_BYTES, F.substring(F.encode(body, "UTF-8"), 1, MAX_LINE_BYTES).cast("string")).otherwise(body)
+    capped = F.when(size > MAX_LINE_BYTES, F.substring(body.cast("binary"), 1, MAX_LINE_BYTES).cast("string")).otherwise(body)
     staged = raw.select("source_file", "line_number", capped.alias("_body"), (size > MAX_LINE_BYTES).alias("was_truncated"))
     return staged.select(
         "source_file", "line_number", F.regexp_replace(F.make_valid_utf8("_body"), "^﻿", "").alias("text"),
