@@ -122,6 +122,11 @@ def _grams(value: Column, size: int) -> Column:
     )
 
 
+def short_pieces(value: Column) -> Column:
+    """Distinct substrings of one to four characters."""
+    return F.array_distinct(F.concat(*[_grams(value, size) for size in range(1, _UA_GRAM + 1)]))
+
+
 def match_values(candidates: DataFrame, indicators: DataFrame) -> DataFrame:
     """``candidates(field, value)`` met with ``indicators(seq, indicator_type, value)``: ``field, value, seq``."""
     distinct = candidates.select("field", "value").where(F.col("value").isNotNull()).distinct()
@@ -142,8 +147,7 @@ def match_values(candidates: DataFrame, indicators: DataFrame) -> DataFrame:
         "_g", F.least(F.length("_needle"), F.lit(_UA_GRAM))
     ).withColumn("_k", F.expr("substring(_needle, 1, _g)"))
     haystack = of("user_agent").withColumn("_low", F.lower("value"))
-    grams = F.array_distinct(F.concat(*[_grams(F.col("_low"), g) for g in range(1, _UA_GRAM + 1)]))
-    by_agent = haystack.withColumn("_k", F.explode(grams)).join(agents, "_k").where(F.col("_low").contains(F.col("_needle")))
+    by_agent = haystack.withColumn("_k", F.explode(short_pieces(F.col("_low")))).join(agents, "_k").where(F.col("_low").contains(F.col("_needle")))
     found = [by_ip, by_cidr, by_domain, by_path, by_hash, by_agent]
     return reduce(DataFrame.unionByName, [f.select("field", "value", "seq") for f in found]).distinct()
 

@@ -15,7 +15,7 @@ from tracelight.functions.text import domain_host
 from tracelight.functions.times import instant
 from tracelight.functions.values import non_blank
 from tracelight.operators.brute_force import THRESHOLD, WINDOW_MS
-from tracelight.operators.enrich import host_suffixes, path_prefixes, with_ranges
+from tracelight.operators.enrich import host_suffixes, path_prefixes, short_pieces, with_ranges
 from tracelight.operators.findings import match_rules
 from tracelight.operators.records import effective_ip, http_records
 from tracelight.rules.model import Rule
@@ -146,12 +146,6 @@ def indicator_keys(indicators: DataFrame) -> DataFrame:
     )
 
 
-def _pieces(value: Column) -> Column:
-    sizes = [F.when(F.length(value) >= n, F.transform(F.sequence(F.lit(1), F.length(value) - (n - 1)), lambda i, n=n: F.substring(value, i, F.lit(n)))).otherwise(
-        F.array().cast("array<string>")) for n in (1, 2, 3, 4)]
-    return F.array_distinct(F.concat(*sizes))
-
-
 def stream_ioc_hits(events: DataFrame, indicators: DataFrame) -> DataFrame:
     """Stream of access-log events joined with a static indicator table."""
     keys = indicator_keys(indicators)
@@ -162,7 +156,7 @@ def stream_ioc_hits(events: DataFrame, indicators: DataFrame) -> DataFrame:
         pair("ip", F.when(F.col("_k").isNotNull(), F.array("_k"))), pair("net", F.when(F.col("_k").isNotNull(), nets)),
         pair("host", F.when(F.col("host").isNotNull(), host_suffixes(domain_host(F.col("host"))))),
         pair("path", F.when(F.col("uri_path").isNotNull(), path_prefixes(F.lower("uri_path")))),
-        pair("agent", F.when(F.col("_ua").isNotNull(), _pieces(F.col("_ua")))))
+        pair("agent", F.when(F.col("_ua").isNotNull(), short_pieces(F.col("_ua")))))
     joined = staged.withColumn("_p", F.explode(probes)).select("*", "_p.family", "_p.key").join(keys, ["family", "key"])
     exact = (
         F.when(F.col("family") == "net", F.col("_k").between(F.col("low"), F.col("high")) & (F.col("v4") | ~is_v4_key(F.col("_k"))))
