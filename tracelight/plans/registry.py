@@ -35,7 +35,14 @@ def query(name: str, covers: str, sql: str | None = None) -> Callable[[QueryFn],
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    # a table in one small file is one task; large tables have enough splits and are left alone
+    return df.repartition(cores) if name in WIDE_WORK and df.rdd.getNumPartitions() < cores else df
+
+
+# tables whose rows are turned into log lines or file content, which costs far more than moving them
+WIDE_WORK = {"events", "documents", "pages"}
 
 
 def event_micros(ts: str = "ts") -> Column:

@@ -62,15 +62,19 @@ def splits_of(scan: DataFrame) -> int:
 
 def decode_lines(raw: DataFrame) -> DataFrame:
     """Adds hash, length and damage flags to ``(source_file, line_number, value)`` and drops blank lines."""
-    body = F.rtrim(F.col("value"), F.lit("\r\n"))  # keeps the raw bytes, which a regular expression would decode
-    size = F.octet_length(body)
-    capped = F.when(size > MAX_LINE_BYTES, F.substring(body.cast("binary"), 1, MAX_LINE_BYTES).cast("string")).otherwise(body)
-    staged = raw.select("source_file", "line_number", capped.alias("_body"), (size > MAX_LINE_BYTES).alias("was_truncated"))
+    # rtrim keeps the raw bytes, which a regular expression would decode
+    body = raw.select("source_file", "line_number", F.rtrim(F.col("value"), F.lit("\r\n")).alias("_raw"))
+    present = settled(body).where(F.col("_raw").rlike(r"[^\s\uFEFF]"))
+    size = F.octet_length("_raw")
+    capped = F.when(size > MAX_LINE_BYTES, F.substring(F.col("_raw").cast("binary"), 1, MAX_LINE_BYTES).cast("string")).otherwise(F.col("_raw"))
+    staged = present.select("source_file", "line_number", capped.alias("_body"), (size > MAX_LINE_BYTES).alias("was_truncated"))
+    sound = F.is_valid_utf8("_body")
+    text = F.when(sound, F.col("_body")).otherwise(F.make_valid_utf8("_body"))
     return staged.select(
-        "source_file", "line_number", F.regexp_replace(F.make_valid_utf8("_body"), "^﻿", "").alias("text"),
+        "source_file", "line_number", F.when(text.startswith("\ufeff"), F.expr("substring(_body, 2)")).otherwise(text).alias("text"),
         sha256_hex(F.col("_body")).alias("raw_hash"), F.octet_length("_body").cast("long").alias("byte_len"),
-        (~F.is_valid_utf8("_body")).alias("had_invalid_utf8"), "was_truncated",
-    ).where(F.trim(F.regexp_replace("text", r"\s", "")) != "")
+        (~sound).alias("had_invalid_utf8"), "was_truncated",
+    )
 
 
 def lines_from(df: DataFrame, text: Column, source_file: Column | str, line_number: Column) -> DataFrame:
