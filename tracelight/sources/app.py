@@ -11,6 +11,7 @@ from tracelight.functions.times import naive_iso
 from tracelight.functions.values import let
 from tracelight.operators.ordered import carry_forward
 from tracelight.schema import APP_EVENT
+from tracelight.session import cut_lineage
 from tracelight.sources.jsonfields import pick, with_fields
 from tracelight.sources.lines import Parsed, finish, parse_cases
 
@@ -136,7 +137,8 @@ def parse_app(lines: DataFrame, tz_offset: str = "+00:00", redact_secrets: bool
     cases = [
         (F.col("_text").startswith("{"), lambda df: _json_columns(df, tz_offset)), (F.lit(True), lambda df: _text_columns(df, tz_offset)),
     ]
-    merged = parse_cases(staged.withColumn("_bare", bare), "_text", cases, APP_EVENT)
+    # written once: folding reads the parsed lines several times
+    merged = cut_lineage(parse_cases(staged.withColumn("_bare", bare), "_text", cases, APP_EVENT))
     folded = fold_continuations(merged).withColumn("raw_hash", sha256_hex(F.col("_text")))
     return finish(folded, APP_EVENT, parser=F.lit("app_log"), redacted=REDACTED, redact_secrets=redact_secrets)
 
