@@ -455,11 +455,11 @@ def systemd_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("account_tables", "SRC-33 AGG-18 AGG-19", """
 WITH c AS (SELECT c_custkey, 'c' || c_custkey AS name, CASE WHEN c_custkey % 50 = 0 THEN '0' ELSE CAST(900 + c_custkey % 300 AS VARCHAR) END AS uid,
   CASE WHEN c_custkey % 3 = 0 THEN '/sbin/nologin' ELSE '/bin/bash' END AS shell, c_custkey % 7 AS s FROM customer),
-dup AS (SELECT uid, string_agg(name, ',' ORDER BY c_custkey) AS names FROM c GROUP BY uid HAVING count(*) > 1)
+dup AS (SELECT uid FROM c GROUP BY uid HAVING count(*) > 1)
 SELECT name AS user, 'empty_password' AS issue FROM c WHERE s = 0 UNION ALL SELECT name, 'weak_hash_md5' FROM c WHERE s = 1
 UNION ALL SELECT name, 'additional_uid0_account' FROM c WHERE uid = '0'
 UNION ALL SELECT name, 'service_or_hidden_account_with_login_shell' FROM c WHERE CAST(uid AS INT) < 1000 AND shell = '/bin/bash'
-UNION ALL SELECT names, 'duplicate_uid:' || uid FROM dup""")
+UNION ALL SELECT name, 'duplicate_uid:' || uid FROM c WHERE uid IN (SELECT uid FROM dup)""")
 def account_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     people = table(spark, sf_dir, "customer").select(
@@ -535,7 +535,7 @@ def spring_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {WEB_SQL} SELECT event_id, 'user_process' AS record_type, 'u' || user_id AS user, ip AS host, CAST(event_id % 30000 AS VARCHAR) AS pid, stamp AS timestamp,
   ((user_id % 256) || '.' || ((user_id // 256) % 256) || '.0.203') AS address FROM web""")
 def login_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """wtmp files with one 384-byte record per event, one file per user."""
+    """wtmp files with one 384-byte record per event, 500 records each."""
     hexed = lambda value, width: F.rpad(F.hex(F.encode(value, "UTF-8")), width * 2, "0")
     le = lambda value: F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(value.cast("bigint"), 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(4)])
     user_byte, high_byte = F.col("user_id") % 256, F.expr("(user_id div 256) % 256")
@@ -543,9 +543,9 @@ def login_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.concat(
         F.lit("07000000"), le(F.col("event_id") % 30000), hexed(F.lit("pts/0"), 32), F.lit("0" * 8), hexed(F.concat(F.lit("u"), _s("user_id")), 32),
         hexed(F.col("ip"), 256), F.lit("0" * 16), le(F.col("sec")), F.lit("0" * 8), address, F.lit("0" * 40))
-    view = web_view(spark, sf_dir).select("user_id", "event_id", record.alias("r"))
-    per_user = view.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "r"))).alias("rs"))  # a fixture file per user
-    files = per_user.select(F.concat(F.lit("/var/log/wtmp."), _s("user_id")).alias("path"), F.unhex(F.array_join(F.transform("rs", lambda s: s["r"]), "")).alias("content"),
+    view = web_view(spark, sf_dir).select(F.expr("event_id div 500").alias("part"), "event_id", record.alias("r"))
+    per_file = view.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("event_id", "r"))).alias("rs"))  # at most 500 records
+    files = per_file.select(F.concat(F.lit("/var/log/wtmp."), _s("part")).alias("path"), F.unhex(F.array_join(F.transform("rs", lambda s: s["r"]), "")).alias("content"),
                             F.transform("rs", lambda s: s["event_id"]).alias("ids"))
     rows = binary.parse_utmp(files.select("path", "content"), "wtmp").join(files.select("path", "ids"), "path")
     return rows.select(F.get("ids", F.col("record_no")).alias("event_id"), "record_type", "user", "host", "pid", "timestamp", "address")

@@ -221,7 +221,7 @@ def parse_accounts(passwd: DataFrame, group: DataFrame, shadow: DataFrame) -> tu
 
 
 def account_issues(passwd: DataFrame, shadow: DataFrame) -> DataFrame:
-    """Empty or weak passwords, extra uid 0, hidden or service accounts with a login shell, shared uids."""
+    """Empty or weak passwords, extra uid 0, hidden or service accounts with a login shell, shared uids (one row per account)."""
     host = ["host"] if "host" in passwd.columns else []
     issue = lambda df, user, name, source: df.select(*host, user.alias("user"), name.alias("issue"), F.lit(source).alias("source"))
     secrets = shadow.withColumn("_f", F.split("text", ":")).where(F.size("_f") >= 2)
@@ -232,14 +232,14 @@ def account_issues(passwd: DataFrame, shadow: DataFrame) -> DataFrame:
     stranger = F.col("name") != "root"
     extra_root = rows.where(stranger & holds(number == 0))
     login = stranger & (F.col("name").startswith(".") | (holds(number < 1000) & ~F.col("shell").isin(*_NO_LOGIN)))
-    # users sharing one uid on one host: a handful by nature, each listed
-    shared = rows.groupBy(*host, "uid").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("line_number", "name"))).alias("who"))
-    shared = shared.where("n > 1").withColumn("names", F.array_join(F.transform("who", lambda w: w["name"]), ","))
+    # one row per account of a shared uid, so that a uid used everywhere is not gathered
+    shared = rows.groupBy(*host, "uid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*host, "uid")
+    twins = rows.join(shared, [*host, "uid"])
     return (
         issue(secrets.where(weak.isNotNull()), _f(0), weak, "/etc/shadow")
         .unionByName(issue(extra_root, F.col("name"), F.lit("additional_uid0_account"), "/etc/passwd"))
         .unionByName(issue(rows.where(login), F.col("name"), F.lit("service_or_hidden_account_with_login_shell"), "/etc/passwd"))
-        .unionByName(issue(shared, F.col("names"), F.concat(F.lit("duplicate_uid:"), "uid"), "/etc/passwd"))
+        .unionByName(issue(twins, F.col("name"), F.concat(F.lit("duplicate_uid:"), "uid"), "/etc/passwd"))
     )
 
 

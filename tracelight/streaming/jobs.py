@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -58,8 +59,10 @@ class LateSplitter:
     def _newest_before(self, spark: SparkSession, batch_id: int) -> Any:
         try:
             seen = spark.read.parquet(f"{self.root}/newest")
-        except Exception:  # the first batch finds no table
-            return None
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":  # the first batch finds no table
+                return None
+            raise
         return seen.where(F.col("batch_id") < batch_id).agg(F.max("newest")).head()[0]
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
