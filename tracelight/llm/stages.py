@@ -1,18 +1,53 @@
-"""The stages of ``corpus_pipeline``: each applies one operator and lets its decisions take effect."""
+"""The stages of ``corpus_pipeline``: each applies one operator to what its predecessor kept, and its decisions take effect.
+
+All but the last return the columns of their input. Results are joined to nothing: operators carry the columns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tracelight.llm.common import read_table
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from tracelight.llm.packing import pack_documents
 
-    return pack_documents(docs)
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among them, does not predict toxic."""
+    from tracelight.llm.toxicity import fit, score
 
+    model = fit(docs, read_table(spark, sf_dir, "labels"))
+    return score(docs, model, carry=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    from tracelight.llm.quality import judge
+
+    return judge(docs, carry=tuple(docs.columns)).where("kept").select(*docs.columns)
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the row with the smallest id; rows without an id stay."""
+    from tracelight.llm.simhash import near_duplicates
 
-drop_poor = drop_near_copies = drop_repeats = drop_toxic
+    found = near_duplicates(docs.select("doc_id", "text"), shingle=5)
+    losers = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; ``text`` without the passages that occurred earlier, ``n_chars`` of what is left."""
+    from tracelight.llm.substring import remove_repeats
+
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = remove_repeats(docs, carry=tuple(others)).withColumnRenamed("kept_text", "text")
+    if "n_chars" in others:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in packed sequences, with their ids."""
+    from tracelight.llm.packing import pack_documents
+
+    return pack_documents(docs)
