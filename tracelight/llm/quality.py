@@ -1,10 +1,12 @@
 """Quality rules: base counts, and the divergence of a document's histograms from language references.
 
-Method. Two histograms are taken of each document: of its word characters over eight classes, and of its words over a
+Method. Two histograms are taken of each document: of its word characters over seven classes, and of its words over a
 list of common words (and the rest). The references are the same histograms over all documents of a language that pass
-the base rules. A document diverges if the Jensen-Shannon distance (base 2, so 0 to 1) of a histogram to the reference
-of its language exceeds a threshold; a histogram shorter than its guard is not judged. Everything is DataFrame
-functions: one pass for the histograms, written narrow, one row per language for the references.
+the base rules, for the languages of COMMON_WORDS. A document diverges if the Jensen-Shannon distance (base 2, so 0 to
+1) of a histogram to the nearest reference exceeds a bound. A histogram shorter than its guard is not judged, and since
+a small sample strays from its source, the bound widens for short texts: its square is the limit's square plus a noise
+term by the number of words. Everything is DataFrame functions: one pass for the histograms, written narrow; the
+references are four rows.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ SYMBOLS = "[#*$%&|<>]"
 
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 MIN_CHARS_JUDGED, MIN_WORDS_JUDGED = 200, 50
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.22, 0.55
+# (limit, noise) of the bounds sqrt(limit^2 + noise / words)
+CHAR_BOUND, WORD_BOUND = (0.2, 2.5), (0.2, 3.4)
 
 CLASSES = ["upper", "vowel", "consonant", "digit", "symbol", "non_ascii", "mark"]
 
@@ -80,35 +83,43 @@ def references(measures: DataFrame) -> DataFrame:
     """``lang, ref_chars, ref_common``: summed histograms of the documents that pass the base rules, one row per language."""
     sums = lambda name, n: [F.sum(F.get(name, F.lit(i))).alias(f"{name}{i}") for i in range(n)]
     n_common = len({w for ws in COMMON_WORDS.values() for w in ws}) + 1
-    good = measures.where(~F.col("base_failed") & F.col("lang").isNotNull())
+    good = measures.where(~F.col("base_failed") & F.col("lang").isin(list(COMMON_WORDS)))
     out = good.groupBy("lang").agg(*sums("chars", len(CLASSES)), *sums("common", n_common))
     return out.select("lang", F.array(*[f"chars{i}" for i in range(len(CLASSES))]).alias("ref_chars"), F.array(*[f"common{i}" for i in range(n_common)]).alias("ref_common"))
 
 
 def js_distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of two count arrays of one length; null if one of them sums to zero."""
-    total = lambda x: F.aggregate(x, F.lit(0).cast("double"), lambda a, v: a + v)
+    total = lambda x: F.nullif(F.aggregate(x, F.lit(0).cast("double"), lambda a, v: a + v), F.lit(0.0))
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
     shares = F.zip_with(p, q, lambda a, b: F.struct((a / total(p)).alias("a"), (b / total(q)).alias("b")))
     terms = F.transform(shares, lambda s: part(s["a"], (s["a"] + s["b"]) / 2) + part(s["b"], (s["a"] + s["b"]) / 2))
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, v: a + v) / 2, F.lit(0.0)))
+    far = F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, v: a + v) / 2, F.lit(0.0)))
+    return F.when(total(p).isNotNull() & total(q).isNotNull(), far)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: ``doc_id``, carried columns, the base counts, ``base_failed, char_distance, word_distance, kept``.
 
-    A null text counts as empty and fails the base rules (too few words). A null language, or one without a document
-    that passes the base rules, has no reference: such documents are judged by the base rules alone. Repeated rows are
+    A null text counts as empty and fails the base rules (too few words). A null language, one that is not in
+    COMMON_WORDS, or one without a document that passes the base rules has no reference: such documents are judged by
+    the base rules alone. Repeated rows are
     judged each by itself. A carried column named like a result is dropped. Windows are compared by 64-bit hashes.
     """
     results = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
     extra = carried(docs, carry, results)
     measures = written(measured(docs, id_col, text, lang, extra))
-    refs = written(references(measures))
-    both = measures.join(refs, "lang", "left")
+    refs = references(measures).collect()  # one row per language of COMMON_WORDS at most
     c = F.col
-    both = both.withColumn("char_distance", F.when(c("word_chars") >= MIN_CHARS_JUDGED, js_distance(c("chars"), c("ref_chars")))) \
-        .withColumn("word_distance", F.when(c("n_words") >= MIN_WORDS_JUDGED, js_distance(c("common"), c("ref_common"))))
-    diverges = F.coalesce(c("char_distance") > MAX_CHAR_DISTANCE, F.lit(False)) | F.coalesce(c("word_distance") > MAX_WORD_DISTANCE, F.lit(False))
+
+    def distance(own: str, ref: str, guard: Column) -> Column:
+        far = [js_distance(c(own), F.lit(r[ref])) for r in refs]
+        nearest = F.lit(None).cast("double") if not far else far[0] if len(far) == 1 else F.least(*far)
+        return F.when(c("lang").isin([r["lang"] for r in refs]) & guard, nearest)
+
+    above = lambda name, bound: F.coalesce(c(name) > F.sqrt(F.lit(bound[0] ** 2) + F.lit(bound[1]) / F.greatest(c("n_words"), F.lit(1))), F.lit(False))
+    both = measures.withColumn("char_distance", distance("chars", "ref_chars", c("word_chars") >= MIN_CHARS_JUDGED)) \
+        .withColumn("word_distance", distance("common", "ref_common", c("n_words") >= MIN_WORDS_JUDGED))
+    diverges = above("char_distance", CHAR_BOUND) | above("word_distance", WORD_BOUND)
     return both.select("doc_id", *[c(f"_c{i}").alias(x) for i, x in enumerate(extra)], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                        "char_distance", "word_distance", (~c("base_failed") & ~diverges).alias("kept"))

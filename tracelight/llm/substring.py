@@ -339,8 +339,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         .mapInArrow(_judged(window), "block long, row int, first int, mask long").withColumnRenamed("block", "_block")
     names = ["_id", "_text"] + [f"_c{i}" for i in range(len(extra))]
     result = slim.select(*names).schema
-    spans = T.ArrayType(T.StructType().add("start", "int").add("stop", "int"))
-    for field, kind in (("_words", "long"), ("_removed", "long"), ("_kept", "string"), ("_sha", "string"), ("_spans", spans)):
+    spans = T.ArrayType(T.StructType().add("start", T.IntegerType()).add("stop", T.IntegerType()))
+    for field, kind in (("_words", T.LongType()), ("_removed", T.LongType()), ("_kept", T.StringType()), ("_sha", T.StringType()), ("_spans", spans)):
         result = result.add(field, kind)
     cleaned = by_block.cogroup(marks.groupBy("_block")).applyInArrow(_cleaned(window, names, to_arrow_schema(result)), result)
     return cleaned.select(F.col("_id").alias("doc_id"), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(extra)],

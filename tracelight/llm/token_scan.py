@@ -72,7 +72,7 @@ def scan_separators(files: DataFrame, folder: str, end_id: int = 50256, id_bytes
     # the scan moves one narrow row per block: separators so far, and the last separator before the block
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     carry = found.select("file", "block", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("docs"),
-                         (F.coalesce(F.max(F.element_at("ends", -1)).over(before), F.lit(-1)) + 1).alias("open"),
+                         (F.coalesce(F.max(F.get("ends", F.size("ends") - 1)).over(before), F.lit(-1)) + 1).alias("open"),
                          (F.row_number().over(W.partitionBy("file").orderBy(F.desc("block"))) == 1).alias("last"))
     both = found.join(written(carry), ["file", "block"])
     starts = F.concat(F.array("open"), F.transform("ends", lambda e: e + 1))

@@ -68,7 +68,7 @@ def _level(keys: DataFrame, n: int, rate: float, salt: int, max_bits: int) -> Le
         raise ValueError(f"a filter of {bits} bits for {n} listed keys is above max_filter_bits={max_bits}")
     empty = Level((), bits, hashes, salt)
     places = keys.select(F.explode(F.array(*[empty._place(F.col("key"), i) for i in range(hashes)])).alias("p"))
-    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("v"))
+    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("v"))
     held = [0] * (bits // 64)
     for row in words.collect():  # at most bits / 64 rows, a size checked above
         held[row["w"]] = row["v"]
