@@ -236,7 +236,9 @@ def read_coded(blocks: DataFrame, lengths: np.ndarray, folder: str, with_ids: bo
                     out["ids"] = [ids[a:b].tolist() for a, b in cuts]
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    spread = based.select("file", "offset", "bytes", "doc_ids", "base").repartition("file", "offset")
+    # a stated number: these narrow rows stand for much work, and would be put into one task by their size
+    tasks = max(1, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = based.select("file", "offset", "bytes", "doc_ids", "base").repartition(tasks, "file", "offset")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
 
 

@@ -7,11 +7,15 @@ nodes, eight nodes an upper node, and so on. A node holds the bits on which all
 its upper node holds already. A query adds up its differences from the root down and drops a whole group as soon as
 they exceed the bound, and also a group whose members are all known to hang together with it. Links found in a
 partition are kept as one link per member to the smallest member, and components are joined over all partitions.
+
+``similar_documents`` serves a similarity bound instead of a bit bound: 256-bit fingerprints of five-word shingle sets, of
+which tables of sampled bits take the place of the four blocks (see there).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import byte_words, carried, written
+from tracelight.llm.common import byte_words, carried, mixed, written
 from tracelight.llm.components import connected_components
 
 MAX_BITS = 3
@@ -91,12 +95,17 @@ class GrayIndex:
                 label = label[label]
             self.component = label
 
-    def connect(self, most: int, chunk: int = 2048) -> np.ndarray:
-        """Component of each entry, named by its first entry: all links of at most ``most`` bits inside a bucket are followed."""
+    def connect(self, most: int, chunk: int = 2048, check: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+        """Component of each entry, named by its first entry: all links of at most ``most`` bits inside a bucket are followed.
+
+        ``check`` may refuse pairs of entries that the codes let pass.
+        """
         n = len(self.codes)
         for step in (1, 2):  # neighbours in Gray order first: dense groups hang together at once
             a = np.arange(n - step) if n > step else np.zeros(0, np.int64)
             a = a[(a + step < self.last[a]) & (np.bitwise_count(self.codes[a] ^ self.codes[a + step]) <= most)] if len(a) else a
+            if check is not None:
+                a = a[check(a, a + step)]
             self._join(a, a + step)
         top = len(self.patterns) - 1
         width = FAN**top
@@ -122,8 +131,11 @@ class GrayIndex:
                 node = (node[:, None] * FAN + np.arange(FAN)).ravel()
                 inside = (node < size) & ((node + 1) * below > who + 1) & (node * below < self.last[who])
                 who, node, gone = who[inside], node[inside], gone[inside]
-            if len(who):
-                self._join(who, node)
+            for at in range(0, len(who), 1 << 20):
+                a, b = who[at : at + (1 << 20)], node[at : at + (1 << 20)]
+                if check is not None:
+                    a, b = a[keep := check(a, b)], b[keep]
+                self._join(a, b)
         return self.component
 
     def _uniform(self) -> list[np.ndarray]:
@@ -217,3 +229,98 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     named = written(rooted.join(lows, "root").select("_fp", "component_id"))
     return prints.join(named, "_fp").select("doc_id", *[F.col(f"_c{i}").alias(c) for i, c in enumerate(extra)],
                                             F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+WIDE = 4  # 64-bit words of a wide fingerprint
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
+    """256-bit SimHash of the set of a text's word shingles (A-Z lower-cased); zero without words."""
+    words = byte_words(text)
+    if not words:
+        return bytes(8 * WIDE)
+    joined = b" ".join(words).lower()
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    n = max(1, len(words) - shingle + 1)
+    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
+    stops = ends[min(shingle, len(words)) - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    hashes = np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops)], dtype=np.uint64))
+    ones = np.zeros(64 * WIDE, np.int64)
+    for a in range(0, len(hashes), 16384):
+        many = np.stack([mixed(hashes[a : a + 16384] + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) for k in range(WIDE)], axis=1).astype("<u8")
+        ones += np.unpackbits(many.view(np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+
+
+def bit_rate(similarity: float) -> float:
+    """Share of differing SimHash bits of two equally large sets of this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, found: float = 0.95) -> DataFrame:
+    """``doc_id, component_id`` of every document with an id: documents of at least about this Jaccard similarity hang together.
+
+    Bits of such fingerprints differ at a known rate, so fingerprints within that many bits, and 1.25 standard deviations
+    more, are linked. Each table samples 64 of the 256 bits; the first ``b`` of them, about the binary logarithm of the
+    number of fingerprints, name the bucket, and the Gray-order index searches inside it. There are as many tables as a
+    pair of this similarity needs to meet in one with probability ``found``; closer pairs meet almost surely. So tables
+    grow with the number of documents to the power 0.24, and buckets stay small. Texts without words are one group.
+    """
+    rate, bits = bit_rate(similarity), 64 * WIDE
+    most = round(bits * rate + 1.25 * math.sqrt(bits * rate * (1 - rate)))
+    slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("_text"))
+
+    def prints_of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t.as_py(), shingle) for t in batch.column(1)], pa.binary())], names=["doc_id", "fp"])
+
+    prints = written(slim.mapInArrow(prints_of, "doc_id long, fp binary"))
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    n = max(2, distinct.count())
+    lead = min(40, max(8, math.ceil(math.log2(n))))
+    tables = math.ceil(math.log(1 - found) / math.log(1 - (1 - rate) ** lead))
+    near = round(64 * rate + 4 * math.sqrt(64 * rate * (1 - rate)))  # of the sampled bits: a bound that hardly any such pair exceeds
+    random = np.random.default_rng(11)
+    samples = [random.permutation(bits)[:64] for _ in range(tables)]
+
+    def entries_of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
+                seen = np.unpackbits(np.frombuffer(b"".join(some.column(0).to_pylist()), np.uint8).reshape(-1, bits // 8), axis=1)
+                for k, sample in enumerate(samples):
+                    code = np.ascontiguousarray(np.packbits(seen[:, sample], axis=1)).view(">u8").ravel().astype(np.uint64)
+                    bucket = (code >> np.uint64(64 - lead)).astype(np.int64) | (np.int64(k) << 40)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(code.view(np.int64)), some.column(1), some.column(0)], names=["bucket", "code", "low", "fp"])
+
+    rank = gray_rank(F.col("code")).bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
+    entries = distinct.select("fp", "low").mapInArrow(entries_of, "bucket long, code long, low long, fp binary")
+    ordered = entries.repartition("bucket").sortWithinPartitions("bucket", rank)
+
+    def links(keys: np.ndarray, codes: np.ndarray, lows: np.ndarray, prints_: np.ndarray) -> pa.RecordBatch:
+        edges = np.flatnonzero(np.diff(keys)) + 1
+        sizes = np.diff(np.concatenate([[0], edges, [len(keys)]]))
+        first = np.repeat(np.concatenate([[0], edges]), sizes)
+        check = lambda a, b: np.bitwise_count(prints_[a] ^ prints_[b]).sum(axis=1) <= most
+        label = GrayIndex(codes.view(np.uint64), first, first + np.repeat(sizes, sizes)).connect(near, check=check)
+        member = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(lows[member]), pa.array(lows[label[member]])], names=["u", "v"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in parts:
+            new = (*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)), np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(-1, WIDE))
+            if held and sum(len(h[0]) for h in held) + len(new[0]) > 30_000:
+                whole = [np.concatenate(c) for c in zip(*held)]
+                cut = len(whole[0]) if whole[0][-1] != new[0][0] else int(np.searchsorted(whole[0], whole[0][-1]))
+                if cut:
+                    yield links(*(c[:cut] for c in whole))
+                held = [tuple(c[cut:] for c in whole)] if cut < len(whole[0]) else []
+            held.append(new)
+        if held:
+            yield links(*(np.concatenate(c) for c in zip(*held)))
+
+    roots = written(connected_components(ordered.mapInArrow(run, "u long, v long")))
+    owned = prints.join(distinct, "fp").select("doc_id", "low")
+    return owned.join(roots, F.col("low") == F.col("node"), "left").select("doc_id", F.coalesce("root", "low").alias("component_id"))

@@ -68,7 +68,9 @@ def scan_separators(files: DataFrame, folder: str, end_id: int = 50256, id_bytes
                 yield pa.RecordBatch.from_pydict({"file": [path], "block": [block], "first": [first], "stop": [first + len(data)], "ends": [at]}, schema=pa.schema(
                     [("file", pa.string()), ("block", pa.int64()), ("first", pa.int64()), ("stop", pa.int64()), ("ends", pa.list_(pa.int64()))]))
 
-    found = written(blocks.repartition("file", "block").mapInArrow(run, "file string, block long, first long, stop long, ends array<bigint>"))
+    # a stated number: these narrow rows stand for much work, and would be put into one task by their size
+    tasks = max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = written(blocks.repartition(tasks, "file", "block").mapInArrow(run, "file string, block long, first long, stop long, ends array<bigint>"))
     # the scan moves one narrow row per block: separators so far, and the last separator before the block
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     carry = found.select("file", "block", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("docs"),

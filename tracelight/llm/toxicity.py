@@ -6,7 +6,7 @@ and other labelled texts is taken; the features of largest chi-square stay, and
 presence times that ratio. Scoring looks all n-grams of the whole text up in one table.
 
 The fit reads at most ``max_fit_rows`` labelled documents, chosen by a hash of their ids; everything else is fixed in
-size (2^18 hash buckets, ``n_features`` features).
+size (2^18 hash buckets, ``n_features`` features and at most two for each document of the fit).
 """
 
 from __future__ import annotations
@@ -115,7 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     expected = total * rows[1] / n
     spread = expected * (1 - rows[1] / n) * (1 - total / n) + 1e-9
     chi = (tally[1] - expected) ** 2 / np.maximum(spread, 0.25)
-    kept = np.lexsort((bucket, -chi))[:n_features]
+    # more features than two per document would be learned by heart
+    kept = np.lexsort((bucket, -chi))[: min(n_features, int(2 * n))]
     table[bucket[kept]] = np.arange(len(kept))
     ratio = ratio[kept]
 
