@@ -1,6 +1,6 @@
 """Quality rules: base counts, and the divergence of a document's histograms from language references.
 
-Method. Two histograms are taken of each document: of its word characters over seven classes, and of its words over a
+Method. Two histograms are taken of each document: of its word characters over six classes, and of its words over a
 list of common words (and the rest). The references are the same histograms over all documents of a language that pass
 the base rules, for the languages of COMMON_WORDS. A document diverges if the Jensen-Shannon distance (base 2, so 0 to
 1) of a histogram to the nearest reference exceeds a bound. A histogram shorter than its guard is not judged, and since
@@ -31,7 +31,7 @@ MIN_CHARS_JUDGED, MIN_WORDS_JUDGED = 200, 50
 # (limit, noise) of the bounds sqrt(limit^2 + noise / words)
 CHAR_BOUND, WORD_BOUND = (0.2, 2.5), (0.2, 3.4)
 
-CLASSES = ["upper", "vowel", "consonant", "digit", "symbol", "non_ascii", "mark"]
+CLASSES = ["upper", "lower", "digit", "symbol", "non_ascii", "mark"]
 
 
 def _only(text: Column, signs: str) -> Column:
@@ -39,8 +39,8 @@ def _only(text: Column, signs: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{signs}]+", "")).cast("long")
 
 
-def _repeat_words(words: Column, hashes: Column) -> Column:
-    """Words in three-word windows found twice or more. ``hashes`` has each window's hash and place, sorted by hash."""
+def _repeat_places(hashes: Column) -> Column:
+    """Places of the three-word windows found twice or more. ``hashes`` has each window's hash and place, sorted by hash."""
     again = F.filter(hashes, lambda x, k: (x["h"] == F.get(hashes, k + 1)["h"]) | (x["h"] == F.get(hashes, k - 1)["h"]))
     return F.sort_array(F.transform(again, lambda x: x["i"]))
 
@@ -55,25 +55,27 @@ def measured(docs: DataFrame, id_col: str, text: str, lang: str, carry: list[str
     df = df.withColumn("w", F.array_remove(F.split("t", WORD_BREAKS), ""))
     df = df.withColumn("n", F.size("w"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    df = df.withColumn("lines", lines)
+    # one pass over the whole text leaves few characters for the others
+    df = df.withColumn("lines", lines).withColumn("rest", F.regexp_replace("t", "[a-z\\x20\\x09-\\x0D]+", ""))
     windows = F.when(c("n") >= 3, F.transform(F.sequence(F.lit(0), c("n") - 3), lambda i: F.struct(
         F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("h"), i.alias("i"))))
     df = df.withColumn("win", F.sort_array(F.coalesce(windows, F.expr("cast(array() as array<struct<h:bigint,i:int>>)"))))
-    df = df.withColumn("again", _repeat_words(c("w"), c("win")))
+    df = df.withColumn("again", _repeat_places(c("win")))
     covered = F.aggregate(F.transform("again", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("again", k + 1) - p, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)
     hits = F.transform(F.filter("w", lambda x: x.isin(spelled)), F.lower)
     df = df.withColumn("hits", hits)
     carried_columns = [f"_c{i}" for i in range(len(carry))]
     df = df.select(
         "doc_id", "lang", *carried_columns, c("n").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        _only(c("t"), SYMBOLS[1:-1]).alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        _only(c("rest"), SYMBOLS[1:-1]).alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
-        _only(c("t"), "A-Z").alias("upper"), _only(c("t"), "aeiou").alias("vowel"), _only(c("t"), "b-df-hj-np-tv-z").alias("consonant"),
-        _only(c("t"), "0-9").alias("digit"), F.length(F.regexp_replace("t", "[\\x00-\\x7F]+", "")).cast("long").alias("non_ascii"),
+        _only(c("rest"), "A-Z").alias("upper"), _only(c("rest"), "0-9").alias("digit"), F.length("rest").cast("long").alias("others"),
+        F.length(F.regexp_replace("rest", "[\\x00-\\x7F]+", "")).cast("long").alias("non_ascii"),
         F.transform(F.array(*map(F.lit, common)), lambda x: F.size(F.filter("hits", lambda h: h == x)).cast("long")).alias("common"), F.size("hits").alias("n_common"),
     )
-    rest = c("word_chars") - c("upper") - c("vowel") - c("consonant") - c("digit") - c("n_symbols") - c("non_ascii")
-    df = df.withColumn("chars", F.array(*[c("n_symbols") if k == "symbol" else rest if k == "mark" else c(k) for k in CLASSES]))
+    mark = c("others") - c("upper") - c("digit") - c("n_symbols") - c("non_ascii")
+    count = {"lower": c("word_chars") - c("others"), "symbol": c("n_symbols"), "mark": mark}
+    df = df.withColumn("chars", F.array(*[count.get(k, c(k)) for k in CLASSES]))
     df = df.withColumn("common", F.concat("common", F.array((c("n_words") - c("n_common")).cast("long"))))
     failed = (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEATED_PERCENT * c("n_words"))
     return df.select("doc_id", "lang", *carried_columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "chars", "common")
