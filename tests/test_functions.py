@@ -54,8 +54,8 @@ def test_cidr_ranges(spark):
 
 
 def test_first_ipv4(spark):
-    given = ["running 5.7.442.11 build, connect from 192.168.1.44", "upgrade 999.999.999.999 done", "no ip", "from 10.0.0.5 ok"]
-    assert _map(spark, given, net.first_ipv4) == ["192.168.1.44", None, None, "10.0.0.5"]
+    given = ["release 3.1.300.2 up, peer 192.168.77.5", "version 700.1.1.900 gone", "no ip", "from 10.0.0.5 ok"]
+    assert _map(spark, given, net.first_ipv4) == ["192.168.77.5", None, None, "10.0.0.5"]
 
 
 def test_decoding_and_paths(spark):
@@ -65,8 +65,8 @@ def test_decoding_and_paths(spark):
 
 
 def test_redaction(spark):
-    line = "curl /login?token=abc123&user=a Authorization: BearerXYZ password=hunter2,ok"
-    assert _map(spark, [line, "plain"], text.redact) == ["curl /login?token=<redacted>&user=a Authorization: <redacted> password=<redacted>,ok", "plain"]
+    line = "GET /renew?token=q9w8&seat=4 Authorization: BearerABC password=open-sesame,end"
+    assert _map(spark, [line, "plain"], text.redact) == ["GET /renew?token=<redacted>&seat=4 Authorization: <redacted> password=<redacted>,end", "plain"]
 
 
 def test_times(spark):

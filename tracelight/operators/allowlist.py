@@ -56,11 +56,11 @@ class Allowlist:
     def warnings(self) -> list[str]:
         """Entries that cannot match as an address."""
         notes = [
-            f"source_ips.internal entry `{e}` is not a parseable IP or CIDR and will not match anything"
+            f"source_ips.internal `{e}`: neither an address nor a network, so it has no effect"
             for e in self.networks if _mapped_range(e) is None
         ]
         notes += [
-            f"source_ips.exact entry `{e}` is not a parseable IP address and will only match by literal string comparison"
+            f"source_ips.exact `{e}`: no address, so it is compared as text"
             for e in self.exact_ips if _address_key(e) is None
         ]
         return notes

@@ -60,12 +60,12 @@ def logon_brute_force(events: DataFrame, system: str, tz_offset: str = "+00:00")
     untimed = F.when(
         F.col("untimed_failures") > 0,
         F.concat(F.lit(" "), F.col("untimed_failures").cast("string"), F.lit(
-            f" further failed {noun}(s) from this source had no readable timestamp and are not part of the 10-minute count.")),
+            f" failed {noun}(s) of this source carry no time and were left out of the count.")),
     ).otherwise("")
     summary = F.concat(
-        F.lit("Source "), F.col("source"), F.lit(f" produced {THRESHOLD} {what} within 10 minutes"),
+        F.lit(f"{THRESHOLD} {what} in ten minutes came from "), F.col("source"),
         F.when(F.col("later_success"), F.lit(then)).otherwise(""), untimed,
-        F.lit(". Treat as brute-force evidence for manual review, not proof of compromise."),
+        F.lit(". Password guessing is likely; check whether the account was used afterwards."),
     )
     high, low = (82, 62) if windows else (80, 60)
     return hits.join(samples, "source").select(*base_finding(

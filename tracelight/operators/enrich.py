@@ -199,11 +199,11 @@ def ioc_findings(matches: DataFrame) -> DataFrame:
     numbered = numbered_ids(matches, ["rank", "evidence_source", "evidence_line", "field_rank", "seq"], "IOC", "match_id")
     score = F.least(F.lit(20) + c("score_delta"), F.lit(40))
     summary = F.concat(
-        F.lit("Local IOC "), c("indicator_value"), F.lit(" matched "), c("matched_field"),
-        F.lit(". IOC matches are auxiliary evidence and not proof of compromise."),
+        F.lit("Indicator "), c("indicator_value"), F.lit(" matched "), c("matched_field"),
+        F.lit(". A hit only adds weight to other evidence."),
     )
     findings = numbered.select(*base_finding(
-        score, "ioc_match", "IOC-MATCH-LOCAL", "Local offline IOC match", "ioc", "Q4",
+        score, "ioc_match", "IOC-MATCH-LOCAL", "Hit of an indicator list", "ioc", "Q4",
         "Q4 environment context from a local IOC file; auxiliary evidence only", "base_rule_score", summary,
         "Check the indicator's origin and confidence and the neighbouring evidence.", finding_id=c("match_id"),
         timestamp=F.when(c("timestamp") != "", c("timestamp")), source_file=c("evidence_source"), line_number=c("evidence_line"),

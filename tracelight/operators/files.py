@@ -131,9 +131,12 @@ def content_measures(content: pd.Series) -> pd.DataFrame:
 
 
 def inspect_files(files: DataFrame, recent: Column | None = None) -> DataFrame:
-    """``files(path, content, …)`` with type, measures, signals, score and reasons."""
+    """``files(path, content, …)`` with type, measures, signals, score and reasons.
+
+    Text signals read the whole content; bytes that are not UTF-8 are replaced and hide nothing else.
+    """
     c = F.col
-    text = F.when(F.is_valid_utf8(c("content").cast("string")), c("content").cast("string")).otherwise("")
+    text = F.make_valid_utf8(c("content").cast("string"))
     staged = (
         files.withColumn("extension", extension(c("path"))).withColumn("magic_type", magic_type(c("content")))
         .withColumn("_m", content_measures(c("content"))).withColumn("_s", script_signals(c("path"), text))
@@ -170,11 +173,11 @@ def webshell_findings(inspected: DataFrame) -> DataFrame:
     """Findings of files scoring 50 or more."""
     c = F.col
     hits = inspected.where("score >= 50")
-    summary = F.concat(F.lit("Static file inspection found "), c("reason"), F.lit(" in "), c("path"), F.lit(" with sha256 "), c("sha256"),
-                       F.lit(". Treat as suspicious evidence, not proof of compromise."))
+    summary = F.concat(F.lit("Content shows "), c("reason"), F.lit(" in "), c("path"), F.lit(" with sha256 "), c("sha256"),
+                       F.lit(". Read the file before deciding."))
     extra = {"timestamp": F.when(c("modified_at") != "unknown", c("modified_at"))} if "modified_at" in inspected.columns else {}
     return hits.select(*base_finding(
-        c("score"), "webshell_static", "FILE-WEBSHELL-STATIC-001", "Built-in WebShell static file indicators", "file", "Q1",
+        c("score"), "webshell_static", "FILE-WEBSHELL-STATIC-001", "File content looks like a web shell", "file", "Q1",
         "Q1 direct file evidence from content signals and file hash", "base_rule_score", summary,
         "Review content, deployment history and upload logs of the file.", source_file=c("path"), raw_hash=c("sha256"), **extra,
     ))

@@ -111,12 +111,12 @@ def group_findings(hits: DataFrame, rules: Iterable[Rule], number: bool = True)
     quality = assess.default_quality(source_type)
     say = lambda label, column: F.when(column.isNotNull(), F.concat(F.lit(label), column.cast("string"))).otherwise("")
     summary = F.concat(
-        F.lit("Rule "), F.col("rule_id"), F.lit(" matched suspicious evidence in "), source_type,
+        F.lit("Rule "), F.col("rule_id"), F.lit(" fired on "), source_type,
         say(" from ", F.col("_source_file")), say(" line ", F.col("best._line")),
-        F.when(F.col("match_count") > 1, F.concat(F.lit("; aggregated "), F.col("match_count").cast("string"), F.lit(" matching records"))).otherwise(""),
+        F.when(F.col("match_count") > 1, F.concat(F.lit("; "), F.col("match_count").cast("string"), F.lit(" records in all"))).otherwise(""),
         say("; method ", F.col("first.method")), say("; path ", F.col("first.uri_path")), say("; status ", F.col("first.status")),
-        F.when(F.size("best.reasons") > 0, F.concat(F.lit("; score reasons: "), F.array_join("best.reasons", "; "))).otherwise(""),
-        F.lit(". Treat as suspicious evidence, not proof of compromise."),
+        F.when(F.size("best.reasons") > 0, F.concat(F.lit("; weighed by "), F.array_join("best.reasons", "; "))).otherwise(""),
+        F.lit(". A lead for an analyst."),
     )
     shaped = joined.select(
         *_GROUP, "match_count", "rule_name", "category", "recommendation",

@@ -71,11 +71,11 @@ def gap_findings(gaps: DataFrame) -> DataFrame:
     c = F.col
     token = F.regexp_replace(F.regexp_replace(F.upper(c("source")), r"[^A-Z0-9]", "-"), r"^-+|-+$", "")
     summary = F.concat(
-        F.lit("Evidence gap in "), c("source"), F.lit(" during "), c("operation"), F.lit(" on "), display_or(text(c("path")), "unspecified path"),
-        F.lit(": "), c("message"), F.lit(". The run cannot confirm absence of evidence for that source."),
+        F.lit("Could not read "), c("source"), F.lit(" ("), c("operation"), F.lit(") at "), display_or(text(c("path")), "unspecified path"),
+        F.lit(": "), c("message"), F.lit(". Silence of this source means nothing."),
     )
     return gaps.select(*base_finding(
-        10, "evidence_gap", F.concat(F.lit("GAP-"), token, F.lit("-UNAVAILABLE-001")), "Evidence source unavailable or incomplete",
+        10, "evidence_gap", F.concat(F.lit("GAP-"), token, F.lit("-UNAVAILABLE-001")), "Source missing or partly read",
         "evidence_gap", "Q5", "Q5 collection gap: a requested evidence source could not be read", "base_rule_score", summary,
         c("recommendation"), finding_id=F.replace(c("gap_id"), F.lit("GAP-"), F.lit("GAP-F-")), timestamp=c("timestamp"),
         source_file=F.when(text(c("path")) != "", c("path")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -71,10 +71,11 @@ class Analysis:
     urls: DataFrame
     high_risk: DataFrame
     timeline: DataFrame
+    tz_offset: str = "+00:00"
 
     def relations(self) -> DataFrame:
         """Related pairs, listed on request."""
-        return relation_pairs(self.findings)
+        return relation_pairs(self.findings, self.tz_offset)
 
 
 def record_sets(evidence: Evidence, settings: Settings) -> list[RecordSet]:
@@ -115,7 +116,7 @@ def analyse(evidence: Evidence, settings: Settings | None = None) -> Analysis:
     settings = settings or Settings()
     rules = settings.rules if settings.rules is not None else all_rules(load_rules())
     if evidence.http is not None and settings.trusted_proxies:
-        evidence.http = infer_clients(evidence.http, settings.trusted_proxies)
+        evidence = replace(evidence, http=infer_clients(evidence.http, settings.trusted_proxies))
     found, hits = detect(record_sets(evidence, settings), rules, settings.allowlist)
     parts = [found]
     for prefix, df in coded_findings(evidence, settings):
@@ -139,5 +140,5 @@ def analyse(evidence: Evidence, settings: Settings | None = None) -> Analysis:
         findings=correlated, hits=hits, chains=rollups.attack_chains(correlated, components, settings.tz_offset),
         chain_members=rollups.chain_members(correlated, components, settings.tz_offset),
         sources=rollups.source_stats(correlated, settings.tz_offset), types=rollups.type_stats(correlated), urls=rollups.url_stats(correlated),
-        high_risk=rollups.high_risk_events(correlated), timeline=timeline(conform(correlated, FINDING), settings.tz_offset),
+        high_risk=rollups.high_risk_events(correlated), timeline=timeline(conform(correlated, FINDING), settings.tz_offset), tz_offset=settings.tz_offset,
     )

@@ -87,7 +87,7 @@ relation AS (
   FROM rel WHERE relation IS NOT NULL)"""
 
 
-@query("band_join_relations", "JN-01 JN-02 JN-03 JN-04 JN-05 JN-06 JN-07 GR-02", f"""
+@query("band_join_relations", "JN-01 JN-02 JN-03 JN-04 JN-05 JN-06 JN-07", f"""
 WITH {RELATIONS_SQL} SELECT relation, dst_type, count(*) AS pairs, CAST(sum(boost_src) AS BIGINT) AS points_src, CAST(sum(boost_dst) AS BIGINT) AS points_dst,
   min(src || dst) AS first_pair, max(src || dst) AS last_pair FROM relation GROUP BY 1, 2""")
 def band_join_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +287,7 @@ def baseline_downrank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("finding_id", "score", "repeated_finding", "repeated_file")
 
 
-@query("component_diff", "JN-13 SNK-08", """
+@query("component_diff", "JN-13", """
 WITH c AS (SELECT *, md5(p_name || p_brand) AS digest, p_type || '|' || p_size || '|' || p_brand AS ident FROM part),
 old AS (SELECT * FROM c WHERE p_retailprice < 1200)
 SELECT p_partkey FROM c WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.digest = c.digest) AND NOT EXISTS (SELECT 1 FROM old WHERE lower(old.ident) = lower(c.ident))""")

@@ -95,7 +95,7 @@ def brute_force_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("fanout_sources", "AGG-10 DET-12", """
-WITH p AS (SELECT DISTINCT l_suppkey, l_partkey % 40 AS target, l_orderkey AS sub FROM lineitem WHERE l_suppkey % 3 = 0 OR l_partkey % 40 < 4),
+WITH p AS (SELECT DISTINCT l_suppkey, CASE WHEN l_suppkey % 3 = 0 THEN l_partkey % 40 ELSE l_partkey % 4 END AS target, l_orderkey AS sub FROM lineitem),
 g AS (SELECT l_suppkey, target, count(*) AS subs FROM p GROUP BY 1, 2),
 s AS (SELECT l_suppkey, count(*) AS distinct_targets, min(CASE WHEN subs >= 15 THEN target END) AS probed FROM g GROUP BY 1)
 SELECT s.l_suppkey AS source, distinct_targets, distinct_targets >= 10 AS is_fanout,
@@ -103,9 +103,9 @@ SELECT s.l_suppkey AS source, distinct_targets, distinct_targets >= 10 AS is_fan
 FROM s LEFT JOIN g ON g.l_suppkey = s.l_suppkey AND g.target = s.probed
 WHERE distinct_targets >= 10 OR probed IS NOT NULL""")
 def fanout_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("source"), (F.col("l_partkey") % 40).alias("target"), F.col("l_orderkey").alias("sub")
-    ).where((F.col("source") % 3 == 0) | (F.col("target") < 4))
+    part = F.col("l_partkey")
+    target = F.when(F.col("l_suppkey") % 3 == 0, part % 40).otherwise(part % 4)
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), target.alias("target"), F.col("l_orderkey").alias("sub"))
     return fanout(items, "source", "target", "sub")
 
 
@@ -208,6 +208,39 @@ def rules_on_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "rule_id")
 
 
+_PAD = 700  # repeats of eight characters: what decides lies beyond 5,000 characters
+
+
+@query("rules_on_long_lines", "SRC-15 FLT-01 rules/app", f"""
+SELECT doc_id FROM documents WHERE doc_id % 2 = 0 OR regexp_matches(text, '{_BY_ID["APP-SQL-ERROR-001"].match.any[1].regex}')""")
+def rules_on_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Application lines of more than 5,000 characters whose last word is the one a rule looks for."""
+    from tracelight.sources.app import parse_app
+
+    docs = table(spark, sf_dir, "documents")
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")
+    line = F.concat(F.lit("1970-02-02 00:00:00 ERROR "), body, F.lit(" padding" * _PAD), F.when(F.col("doc_id") % 2 == 0, " SQLSTATE[42000]").otherwise(""))
+    events = parse_app(lines_from(docs, line, "long.log", F.col("doc_id"))).events
+    hits = match_rules(RecordSet(events.select(F.col("line_number").alias("doc_id"), "message_summary"), "app_log", "message_summary"), [_BY_ID["APP-SQL-ERROR-001"]])
+    return hits.select("doc_id")
+
+
+@query("detectors_on_long_commands", "SRC-20 DET-03", f"""
+WITH {WEB_SQL} SELECT event_id, 'HOST-WINDOWS-POWERSHELL-001' AS rule_id, 74 AS score FROM web WHERE event_id % 3 = 0""")
+def detectors_on_long_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Script blocks of more than 5,000 characters with the telling call at their end."""
+    from tracelight.operators.detectors import windows_event_findings
+    from tracelight.sources.host_events import parse_windows_xml
+
+    view = web_view(spark, sf_dir)
+    tail = F.when(F.col("event_id") % 3 == 0, "(New-Object Net.WebClient).DownloadString()").otherwise("Get-Date")
+    block = F.concat(F.lit('<Event><System><Provider Name="PowerShell"/><EventID>4104</EventID><TimeCreated SystemTime="'), F.col("stamp"),
+                     F.lit('"/></System><EventData><Data Name="ScriptBlockText">'), F.lit("$a = 12;" * _PAD), tail, F.lit("</Data></EventData>"))
+    records = view.select(F.lit("scripts.xml").alias("source_file"), block.alias("value"), F.col("event_id").alias("start_line"))
+    found = windows_event_findings(parse_windows_xml(records).events)
+    return found.select(F.col("line_number").alias("event_id"), "rule_id", F.col("score").cast("int").alias("score"))
+
+
 _ALLOW = Allowlist(
     disabled_rules=["web-xss-low-001"], exact_paths=["/docs/./page.html"], path_prefixes=["/static/"],
     exact_ips=["203.0.0.7"], networks=["203.0.0.64/27"], user_agents=["SQLMAP"],

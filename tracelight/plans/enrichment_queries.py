@@ -82,7 +82,7 @@ def _hosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return http_events(view).join(host, "line_number").withColumn("host", F.col("_h")).drop("_h")
 
 
-@query("ioc_hits", "JN-09 DET-20 FN-13 FN-14 STR-04", f"WITH {_IOC_SQL} SELECT event_id, seq, field AS matched_field, delta AS score_delta FROM hit")
+@query("ioc_hits", "JN-09 DET-20 FN-13 FN-14", f"WITH {_IOC_SQL} SELECT event_id, seq, field AS matched_field, delta AS score_delta FROM hit")
 def ioc_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     matches = E.ioc_matches(E.ioc_candidates(_hosted(spark, sf_dir)), _indicators(spark, sf_dir))
     return matches.select(F.col("evidence_line").alias("event_id"), "seq", "matched_field", "score_delta")
@@ -113,7 +113,7 @@ net AS (SELECT i, (i * 7919) % 1009 AS file_order, CASE i % 3 WHEN 0 THEN 64 WHE
 geo AS (SELECT u.i AS user_id, arg_min(net.country, file_order) AS country, arg_min(net.asn, file_order) AS asn FROM u JOIN net ON u.i // size = net.i // size GROUP BY 1)"""
 
 
-@query("geo_first_match", "JN-11 SRC-26", f"WITH {_GEO_SQL} SELECT DISTINCT ip, country, asn FROM web JOIN geo USING (user_id)")
+@query("geo_first_match", "JN-11", f"WITH {_GEO_SQL} SELECT DISTINCT ip, country, asn FROM web JOIN geo USING (user_id)")
 def geo_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     addresses = web_view(spark, sf_dir).select("ip")
     return E.first_network(addresses, "ip", _networks(spark, sf_dir)).select("ip", "country", "asn")
@@ -151,7 +151,7 @@ def country_asn_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(U.country_summary(ips), "country").unionByName(pick(U.asn_summary(ips), "asn"))
 
 
-@query("file_context", "JN-08 FLT-11", f"""
+@query("file_context", "JN-08", f"""
 WITH {WEB_SQL},
 h AS (SELECT event_id, sec FROM web WHERE event_type = 'click' AND query LIKE '%UNION%'),
 f AS (SELECT event_id AS seq, sec, '/var/www/f' || (event_id % 40) || '.php' AS path, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS rank FROM web WHERE event_type = 'view'),
@@ -230,17 +230,17 @@ def static_file_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("tagged_strings", "SRC-39 PRJ-21", r"""
-WITH t AS (SELECT doc_id, regexp_replace(text, '[^ -~]', chr(10), 'g') || CASE doc_id % 9 WHEN 0 THEN chr(10) || 'see http://x.example/' || doc_id WHEN 1 THEN chr(10) || 'rm /tmp/' || doc_id || ' now' ELSE '' END AS body FROM documents),
+WITH t AS (SELECT doc_id, text || CASE doc_id % 9 WHEN 0 THEN chr(10) || 'see http://x.example/' || doc_id WHEN 1 THEN chr(10) || 'rm /tmp/' || doc_id || ' now' ELSE '' END AS body FROM documents),
 s AS (SELECT doc_id, trim(unnest(regexp_extract_all(body, '[ -~]{8,}'))) AS str FROM t),
 c AS (SELECT doc_id, str, lower(str) AS low FROM s WHERE len(str) >= 8)
-SELECT doc_id, left(str, 512) AS text, CASE WHEN low LIKE '%http://%' OR low LIKE '%https://%' THEN 'url' WHEN low LIKE '%/tmp/%' OR low LIKE '%/dev/shm%' OR low LIKE '%\temp\%' OR low LIKE '%\users\public\%' THEN 'temp_path'
+SELECT doc_id, str AS text, CASE WHEN low LIKE '%http://%' OR low LIKE '%https://%' THEN 'url' WHEN low LIKE '%/tmp/%' OR low LIKE '%/dev/shm%' OR low LIKE '%\temp\%' OR low LIKE '%\users\public\%' THEN 'temp_path'
   WHEN regexp_matches(low, 'powershell|cmd\.exe|certutil|bitsadmin') THEN 'executor' WHEN low LIKE '%authorized_keys%' THEN 'ssh_artifact' WHEN low LIKE '%begin rsa private key%' OR low LIKE '%begin open ssh%' THEN 'private_key'
   WHEN low LIKE '%shadow%' THEN 'credential_artifact' ELSE 'base64_run' END AS tag
 FROM c WHERE regexp_matches(low, 'https?://|/tmp/|/dev/shm|\\temp\\|\\users\\public\\|powershell|cmd\.exe|certutil|bitsadmin|authorized_keys|begin rsa private key|begin open ssh|shadow') OR regexp_matches(str, '^[A-Za-z0-9+/=]{64,}$')""")
 def tagged_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     tail = F.when(d % 9 == 0, F.concat(F.lit("\nsee http://x.example/"), d.cast("string"))).when(d % 9 == 1, F.concat(F.lit("\nrm /tmp/"), d.cast("string"), F.lit(" now"))).otherwise("")
-    files = table(spark, sf_dir, "documents").select(d.cast("string").alias("path"), F.encode(F.concat(F.regexp_replace("text", "[^ -~]", "\n"), tail), "UTF-8").alias("content"))
+    files = table(spark, sf_dir, "documents").select(d.cast("string").alias("path"), F.encode(F.concat("text", tail), "UTF-8").alias("content"))
     return binary.extract_strings(files).select(F.col("source_file").cast("bigint").alias("doc_id"), "text", "tag")
 
 

@@ -52,7 +52,7 @@ def json_access_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.col(_EVENT).alias("event_id"), *_HTTP)
 
 
-@query("json_props", "SRC-04 SRC-24", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("json_props", "SRC-04", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelight.sources.jsonfields import pick, to_u64, with_fields
 
@@ -91,7 +91,7 @@ def iis_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(parsed.rejects.select(event, F.col("message").alias("outcome")), allowMissingColumns=True)
 
 
-@query("mixed_formats", "SRC-02 SRC-06", f"WITH {WEB_SQL} SELECT {_HTTP_SQL} FROM web WHERE event_id % 97 <> 0 OR event_id % 4 <> 2")
+@query("mixed_formats", "SRC-06", f"WITH {WEB_SQL} SELECT {_HTTP_SQL} FROM web WHERE event_id % 97 <> 0 OR event_id % 4 <> 2")
 def mixed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files in three formats side by side; each is detected from its first lines."""
     view = web_view(spark, sf_dir)
@@ -181,19 +181,19 @@ def app_log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.col(_EVENT).alias("event_id"), "timestamp", "level", "exception_type", "framework", "logger", "http_path", "trace_id", "user_summary")
 
 
-_CLEAN_SQL = "trim(regexp_replace(text, '[^a-z ]', '', 'g'))"
+_JOINED_SQL = "regexp_replace(text, '[ \\t\\n\\r\\f]+', '_', 'g')"  # no blanks, so that no word stands alone as a level
 
 
 @query("multiline_merge", "SRC-16 WIN-07", f"""
-WITH t AS (SELECT conv_id, turn, {_CLEAN_SQL} AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
-SELECT conv_id, left('1970-02-02 00:00:00 ERROR conversation ' || conv_id || coalesce(string_agg(chr(10) || 'at ' || body, '' ORDER BY turn) FILTER (n > 1), ''), 2000) AS message
+WITH t AS (SELECT conv_id, turn, {_JOINED_SQL} AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+SELECT conv_id, '1970-02-02 00:00:00 ERROR conversation ' || conv_id || coalesce(string_agg(chr(10) || 'at ' || body || ';', '' ORDER BY turn) FILTER (n > 1), '') AS message
 FROM t GROUP BY conv_id""")
 def multiline_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as one event: the first is a dated line, the others continue it."""
     from pyspark.sql import Window as W
 
     talk = table(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")))
-    body = F.trim(F.regexp_replace("text", "[^a-z ]", ""))
+    body = F.concat(F.regexp_replace("text", r"[ \t\n\r\f]+", "_"), F.lit(";"))
     line = F.when(F.col("n") == 1, F.concat(F.lit("1970-02-02 00:00:00 ERROR conversation "), _s("conv_id"))).otherwise(F.concat(F.lit("at "), body))
     file = F.concat(F.lit("talk-"), (F.col("conv_id") % 7).cast("string"), F.lit(".log"))
     lines = lines_from(talk, line, file, F.col("conv_id") * 1000 + F.col("n"))

@@ -24,7 +24,7 @@ def _schema(columns: str) -> StructType:
 
 LINE = _schema(
     "source_file string, line_number bigint, text string, raw_hash string, byte_len bigint, "
-    "had_invalid_utf8 boolean, was_truncated boolean"
+    "had_invalid_utf8 boolean, is_long boolean"
 )
 HTTP_EVENT = _schema(
     "timestamp string, source_file string, line_number bigint, remote_ip string, xff_ip string, "

@@ -16,8 +16,7 @@ from tracelight.sources.jsonfields import pick, with_fields
 from tracelight.sources.lines import Parsed, finish, parse_cases
 
 REDACTED = ("logger", "exception_type", "message_summary", "request_id", "trace_id", "http_path", "user_summary")
-MESSAGE_CAP = 2000
-SUMMARY_CAP = 300
+LINES_PER_EVENT = 1000
 _LEVEL = r"(?i)(?<![a-z0-9_/=@#])(TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL|CRITICAL)(?![a-z0-9_/=@#])"
 _EXCEPTION = r"([A-Za-z_$][A-Za-z0-9_.$]*(?:Exception|Error|Throwable))"
 
@@ -103,10 +102,10 @@ def _json_columns(df: DataFrame, tz_offset: str) -> DataFrame:
         F.coalesce(pick(m, "framework", "runtime", "service"), framework(F.col("source_file"), F.col("_text"))).alias("framework"),
         F.lower(pick(m, "level", "severity", "loglevel")).alias("level"), pick(m, "logger", "logger_name", "source").alias("logger"),
         F.coalesce(pick(m, "exception_type", "exception", "error_type", "error.kind"), exception_type(F.col("_msg"))).alias("exception_type"),
-        F.substring("_msg", 1, SUMMARY_CAP).alias("message_summary"),
+        F.col("_msg").alias("message_summary"),
         pick(m, "request_id", "requestid", "req_id").alias("request_id"), pick(m, "trace_id", "traceid", "trace").alias("trace_id"),
         pick(m, "http_path", "path", "uri", "url", "request_path").alias("http_path"),
-        F.substring(pick(m, "user", "user_id", "username", "principal"), 1, SUMMARY_CAP).alias("user_summary"),
+        pick(m, "user", "user_id", "username", "principal").alias("user_summary"),
         F.lit("app_json").alias("parser_name"), F.when(F.size(m) >= 4, 0.86).otherwise(0.72).alias("parse_confidence"),
         F.when(m.isNull(), "application JSON log is not an object").alias("_error"),
     )
@@ -121,7 +120,7 @@ def _text_columns(df: DataFrame, tz_offset: str) -> DataFrame:
     nothing = F.col("timestamp").isNull() & F.col("level").isNull() & F.col("exception_type").isNull() & F.col("http_path").isNull()
     return staged.select(
         *df.columns, "timestamp", framework(F.col("source_file"), line).alias("framework"), "level",
-        logger(line, F.col("level")).alias("logger"), "exception_type", F.substring(line, 1, SUMMARY_CAP).alias("message_summary"),
+        logger(line, F.col("level")).alias("logger"), "exception_type", line.alias("message_summary"),
         value_after(line, "request_id=", "requestId=", "request-id=", "req_id=").alias("request_id"),
         value_after(line, "trace_id=", "traceId=", "trace-id=", "trace=").alias("trace_id"), "http_path",
         value_after(line, "user=", "user_id=", "username=").alias("user_summary"), F.lit("app_text").alias("parser_name"),
@@ -147,9 +146,9 @@ def fold_continuations(parsed: DataFrame) -> DataFrame:
     """Append ``_bare`` lines to the message of the last event before them in the same file.
 
     Needs ``source_file, line_number, _text, _bare, _error, message_summary``. A bare line that has
-    no event before it stays an event of its own when it parsed. A message keeps 2000 characters
-    and every appended line takes at least two, so only the first 1000 of a head can matter; that
-    keeps a head with millions of trailing lines from being gathered.
+    no event before it stays an event of its own when it parsed. Nothing is cut: the first
+    ``LINES_PER_EVENT`` lines join the head's own event, and each further stretch of as many lines is an
+    event of the same head, numbered by its first line, so no message gathers more lines than that.
     """
     alone = F.col("_error").isNull()
     # the first event of a file may itself be a bare line that parsed; it can then own others
@@ -161,19 +160,22 @@ def fold_continuations(parsed: DataFrame) -> DataFrame:
         "_joins", F.col("_bare") & F.col("_head").isNotNull() & (F.col("_head") < F.col("line_number"))
     )
     tails = staged.where(F.col("_joins")).select("source_file", "_head", "line_number", "_text")
-    extra = first_lines(tails, MESSAGE_CAP // 2).groupBy("source_file", "_head").agg(
+    extra = stretches(tails, LINES_PER_EVENT).groupBy("source_file", "_head", "_stretch").agg(
+        F.min("line_number").alias("_from"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "_text"))), lambda s: s["_text"]), "\n").alias("_extra")
     )
     keys = [F.col("h.source_file") == F.col("e.source_file"), F.col("h.line_number") == F.col("e._head")]
     heads = staged.where(~F.col("_joins")).alias("h").join(extra.alias("e"), keys, "left")
-    combined = F.when(
-        F.col("_extra").isNotNull(), F.substring(F.concat_ws("\n", "h.message_summary", "e._extra"), 1, MESSAGE_CAP)
-    ).otherwise(F.col("h.message_summary"))
-    names = [c for c in parsed.columns if c not in ("message_summary", "_bare")]
-    return heads.select(*[F.col(f"h.{c}").alias(c) for c in names], combined.alias("message_summary"))
+    further = F.coalesce(F.col("e._stretch") > 0, F.lit(False))
+    combined = F.when(further, F.col("e._extra")).otherwise(F.concat_ws("\n", "h.message_summary", "e._extra"))
+    combined = F.when(F.col("e._extra").isNull(), F.col("h.message_summary")).otherwise(combined)
+    names = [c for c in parsed.columns if c not in ("message_summary", "_bare", "line_number")]
+    return heads.select(
+        *[F.col(f"h.{c}").alias(c) for c in names], F.when(further, F.col("e._from")).otherwise(F.col("h.line_number")).alias("line_number"),
+        combined.alias("message_summary"))
 
 
-def first_lines(tails: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` lines of each head, limited before the shuffle."""
+def stretches(tails: DataFrame, size: int) -> DataFrame:
+    """Numbers the lines of each head in stretches of ``size`` lines."""
     order = W.partitionBy("source_file", "_head").orderBy("line_number")
-    return tails.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit)
+    return tails.withColumn("_stretch", F.floor((F.row_number().over(order) - 1) / size).cast("int"))

@@ -50,9 +50,9 @@ def classify_statement(text: Column) -> Column:
 
 
 def summarise_statement(text: Column) -> Column:
-    """Single-spaced statement with quoted literals masked, at most 240 characters."""
+    """Single-spaced whole statement with quoted literals masked."""
     squeezed = F.trim(F.regexp_replace(text, r"\s+", " "))
-    masked = F.trim(F.substring(F.regexp_replace(squeezed, r"'[^']*('|$)", "'?'"), 1, 240))
+    masked = F.trim(F.regexp_replace(squeezed, r"'[^']*('|$)", "'?'"))
     return F.when(squeezed != "", masked)
 
 

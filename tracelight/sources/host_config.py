@@ -16,7 +16,6 @@ from tracelight.functions.values import contains_any, holds, text
 from tracelight.operators.ordered import BLOCK_LINES, carry_forward
 
 _EXTRA = ("host", "user", "home_dir", "mtime")
-MAX_COMMAND = 4096
 
 
 def _keep(df: DataFrame, *also: str) -> list[str]:
@@ -27,7 +26,7 @@ def _name(path: str = "source_file") -> Column:
     return F.element_at(F.split(path, r"[/\\]"), -1)
 
 
-def parse_shell_history(lines: DataFrame, max_command: int = MAX_COMMAND) -> DataFrame:
+def parse_shell_history(lines: DataFrame) -> DataFrame:
     """Commands with the time they ran.
 
     zsh lines carry their own time. A bash ``#epoch`` line dates the next command; a command ending
@@ -51,11 +50,9 @@ def parse_shell_history(lines: DataFrame, max_command: int = MAX_COMMAND) -> Dat
     opened = _previous_state(shifted)
     epoch = F.when(F.col("_zsh").isNotNull(), F.col("_zsh")).when(is_command & (F.col("_before") >= 0), F.col("_before"))
     command = F.trim(F.when(F.col("_zsh").isNotNull(), F.regexp_replace(t, r"^:[^;]*;", "")).otherwise(t))
-    capped = F.when(F.octet_length(command) > max_command, F.concat(
-        F.make_valid_utf8(F.substring(F.encode(command, "UTF-8"), 1, max_command).cast("string")), F.lit("...(truncated)"))).otherwise(command)
     rows = opened.where(F.col("_mark").isNull()).select(
         *_keep(lines), F.col("source_file").alias("history_file"), F.col("line_number").alias("line_no"),
-        F.coalesce(epoch_iso(epoch), F.lit("")).alias("timestamp"), capped.alias("command"),
+        F.coalesce(epoch_iso(epoch), F.lit("")).alias("timestamp"), command.alias("command"),
     )
     return rows.where(F.col("command") != "")
 
@@ -96,7 +93,7 @@ def parse_sudoers(lines: DataFrame) -> DataFrame:
     return staged.select(
         *keep, *([F.col("host").alias("machine")] if "host" in lines.columns else []), "source_file", F.col("line_number").alias("line_no"),
         pick(user).alias("user"), pick(host).alias("host"), pick(runas).alias("runas"),
-        F.when(plain, F.substring(line, 1, 300)).otherwise(F.substring(commands, 1, 400)).alias("commands"),
+        F.when(plain, line).otherwise(commands).alias("commands"),
         F.when(plain, "defaults_or_alias").otherwise(flags).alias("flags"),
     )
 
@@ -114,9 +111,9 @@ def parse_ssh_keys(lines: DataFrame) -> DataFrame:
     is_key = first.contains("=") | first.rlike("^(ssh-|ecdsa-|sk-)")
     detail = (
         F.when(F.col("kind") == "authorized_keys", F.when(is_key, F.concat(first, F.lit(" ... "), last)).otherwise(
-            F.concat(F.lit("options_prefix: "), F.substring(first, 1, 120))))
-        .when(F.col("kind") == "known_hosts", F.substring(first, 1, 200)).when(F.col("kind") == "ssh_environment", "environment_entry")
-        .otherwise(F.substring("_t", 1, 160))
+            F.concat(F.lit("options_prefix: "), first)))
+        .when(F.col("kind") == "known_hosts", first).when(F.col("kind") == "ssh_environment", "environment_entry")
+        .otherwise(F.col("_t"))
     )
     return staged.select(*_keep(lines), F.col("source_file").alias("file"), "kind", F.col("line_number").alias("line_no"), detail.alias("detail"))
 
@@ -260,4 +257,4 @@ def rc_hook(line: Column) -> Column:
 def parse_rc_files(lines: DataFrame) -> DataFrame:
     staged = lines.withColumn("_t", F.trim("text")).where((F.col("_t") != "") & ~F.col("_t").startswith("#"))
     return staged.withColumn("kind", rc_hook(F.col("_t"))).where(F.col("kind").isNotNull()).select(
-        *_keep(lines), F.col("source_file").alias("file"), F.col("line_number").alias("line_no"), "kind", F.substring("_t", 1, 300).alias("detail"))
+        *_keep(lines), F.col("source_file").alias("file"), F.col("line_number").alias("line_no"), "kind", F.col("_t").alias("detail"))

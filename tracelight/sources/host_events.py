@@ -13,20 +13,14 @@ from tracelight.functions.times import audit_iso, instant, micros_iso, syslog_is
 from tracelight.functions.values import let
 from tracelight.schema import CONTAINER_LOG, LINUX_EVENT, WINDOWS_EVENT
 from tracelight.sources.jsonfields import json_map, lower_keys
-from tracelight.sources.lines import BROADCAST_SPLITS, Parsed, finish, parse_cases, splits_of
+from tracelight.sources.lines import Parsed, finish, parse_cases
 
 _AUDIT_PAIR = r"""([A-Za-z0-9_]+)=("[^"]*"|'[^']*'|\S+)"""
 
 
-def bounded(value: Column, limit: int = 240) -> Column:
-    """Single-spaced text, cut after ``limit`` bytes with an ellipsis."""
-    squeezed = F.trim(F.regexp_replace(value, r"\s+", " "))
-    return let(
-        squeezed,
-        lambda v: F.when(F.octet_length(v) <= limit, v).otherwise(
-            F.concat(F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(v, "UTF-8"), 1, limit).cast("string")), "�+$", ""), F.lit("..."))
-        ),
-    )
+def single_spaced(value: Column) -> Column:
+    """The whole text with every run of white space as one space; rules read it, displays may cut it."""
+    return F.trim(F.regexp_replace(value, r"\s+", " "))
 
 
 def _user_from_uid(uid: Column) -> Column:
@@ -67,7 +61,7 @@ def _exec_command(fields: Column) -> Column:
     ordered = F.array_sort(F.transform(
         numbered, lambda e: F.struct(F.substring(e["key"], 2, 9).cast("int").alias("n"), decode_argument(e["value"]).alias("v"))
     ))
-    return bounded(F.array_join(F.transform(ordered, lambda s: s["v"]), " "))
+    return single_spaced(F.array_join(F.transform(ordered, lambda s: s["v"]), " "))
 
 
 def _base_name(value: Column) -> Column:
@@ -80,9 +74,9 @@ def _audit_columns(df: DataFrame) -> DataFrame:
     kind = f("type")
     known = kind.isin("EXECVE", "SYSCALL", "USER_LOGIN", "USER_AUTH", "CRED_ACQ")
     action = F.when(kind == "EXECVE", "execve").when(kind == "SYSCALL", "syscall").when(known, "auth").otherwise(F.lower(kind))
-    command = F.when(F.upper(kind) == "EXECVE", F.when(known, _exec_command(F.col("_f"))).otherwise(bounded(f("cmd")))).when(
-        known, bounded(f("cmd", "command"))
-    ).otherwise(bounded(f("cmd")))
+    command = F.when(F.upper(kind) == "EXECVE", F.when(known, _exec_command(F.col("_f"))).otherwise(single_spaced(f("cmd")))).when(
+        known, single_spaced(f("cmd", "command"))
+    ).otherwise(single_spaced(f("cmd")))
     success = f("success")
     return staged.select(
         *df.columns, audit_iso(extract(F.col("_text"), r"msg=audit\((\d+)(?:\.\d+)?:\d+\)")).alias("timestamp"),
@@ -117,7 +111,7 @@ def _auth_columns(df: DataFrame, now: datetime, tz_offset: str) -> DataFrame:
     unit = F.regexp_extract(
         F.rtrim(F.trim(F.when(lowered.contains("started "), F.regexp_replace(line, r"(?is)^.*?started ", "")).otherwise(
             F.regexp_replace(line, r"(?is)^.*?failed to start ", ""))), F.lit(".")), r"^(\S+)", 1)
-    command = F.when(sudo, bounded(extract(line, r"(?s)COMMAND=\s*(\S.*)$"))).when(cron, F.trim(extract(line, r"(?s)(CMD.*)$")))
+    command = F.when(sudo, single_spaced(extract(line, r"(?s)COMMAND=\s*(\S.*)$"))).when(cron, F.trim(extract(line, r"(?s)(CMD.*)$")))
     plain_service = ~login & ~sudo & ~cron & service
     staged = df.withColumn("action", action).withColumn("command_line_summary", F.when(~login, command)).withColumn(
         "unit", F.when(plain_service & (unit != ""), unit)
@@ -178,7 +172,7 @@ def _journal_json(df: DataFrame) -> DataFrame:
                    micros_iso(get("_SOURCE_REALTIME_TIMESTAMP"))).alias("timestamp"),
         F.lit("journald").alias("source"), F.coalesce(get("_SYSTEMD_UNIT", "UNIT"), _unit_in(F.col("_msg"))).alias("unit"),
         _user_from_uid(get("_UID")).alias("user"), get("_UID").alias("uid"), get("_PID").alias("pid"),
-        get("_COMM", "SYSLOG_IDENTIFIER").alias("process_name"), bounded(F.col("_msg")).alias("command_line_summary"),
+        get("_COMM", "SYSLOG_IDENTIFIER").alias("process_name"), single_spaced(F.col("_msg")).alias("command_line_summary"),
         _journal_action(F.col("_msg")).alias("action"), F.col("_msg").alias("object_path"), F.lit(0.8).alias("parser_confidence"),
         F.when(F.col("_m").isNull(), "invalid journald JSON record").alias("_error"),
     )
@@ -191,7 +185,7 @@ def _journal_text(df: DataFrame, now: datetime, tz_offset: str) -> DataFrame:
         *df.columns, _syslog_stamp(line, now, tz_offset).alias("timestamp"), F.lit("journald").alias("source"),
         _unit_in(F.col("_msg")).alias("unit"), extract(line, r"\[(\d+)\]:").alias("pid"),
         extract(line, r"\s([A-Za-z0-9_.@-]+)(?:\[\d+\])?:").alias("process_name"),
-        bounded(F.col("_msg")).alias("command_line_summary"), extract(line, r"\bfrom ([0-9a-fA-F:.]+)").alias("src_ip"),
+        single_spaced(F.col("_msg")).alias("command_line_summary"), extract(line, r"\bfrom ([0-9a-fA-F:.]+)").alias("src_ip"),
         _journal_action(F.col("_msg")).alias("action"), F.col("_msg").alias("object_path"), F.lit(0.7).alias("parser_confidence"),
         F.lit(None).cast("string").alias("_error"),
     )
@@ -253,8 +247,6 @@ def read_terminated(spark: SparkSession, path: str, terminator: str, encoding: s
     splits = counted.groupBy("source_file", "_split").agg(F.sum("_nl").alias("_n"))
     before = W.partitionBy("source_file").orderBy("_split").rowsBetween(W.unboundedPreceding, -1)
     offsets = splits.select("source_file", "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    if splits_of(raw) <= BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
     inside = W.partitionBy("source_file", "_split").orderBy("_row").rowsBetween(W.unboundedPreceding, -1)
     local = counted.withColumn("_before", F.coalesce(F.sum("_nl").over(inside), F.lit(0)))
     return local.join(offsets, ["source_file", "_split"]).select(
@@ -274,7 +266,7 @@ def _windows_columns(df: DataFrame, carry: list[str]) -> DataFrame:
         data("NewProcessName", "ProcessName", "Image", "Application", "ProcessPath").alias("process_name"),
         data("NewProcessId", "ProcessId", "ExecutionProcessID").alias("process_id"),
         data("ParentProcessName", "ParentImage", "CreatorProcessName").alias("parent_process_name"),
-        bounded(data("CommandLine", "ProcessCommandLine", "ScriptBlockText", "Message", "Image")).alias("command_line_summary"),
+        single_spaced(data("CommandLine", "ProcessCommandLine", "ScriptBlockText", "Message", "Image")).alias("command_line_summary"),
         F.when(~source_ip.isin("-", "::1"), source_ip).alias("source_ip"),
         data("TargetUserName", "AccountName", "TargetAccount").alias("target_user"),
         data("ServiceName", "param1", "Service").alias("service_name"), data("TaskName", "Task", "TaskContent").alias("task_name"),
@@ -329,7 +321,7 @@ def _last_wins(entries: Column) -> Column:
 
 def _windows_done(df: DataFrame) -> Parsed:
     undamaged = df.withColumn("raw_hash", F.lit(None).cast("string")).withColumn("text", F.col("_text")).withColumn(
-        "was_truncated", F.lit(False)
+        "is_long", F.lit(False)
     ).withColumn("had_invalid_utf8", F.lit(False))
     return _done(undamaged, WINDOWS_EVENT, "WIN-", "windows_event")
 
@@ -398,7 +390,7 @@ def _container_json(df: DataFrame) -> DataFrame:
         get("container_id", "containerID", "id").alias("container_id"), get("container_name", "container", "name").alias("container_name"),
         F.coalesce(get("pod_name", "pod"), kube("pod_name")).alias("pod_name"),
         F.coalesce(get("namespace"), kube("namespace_name")).alias("namespace"), get("stream", "source").alias("stream"),
-        bounded(F.coalesce(get("log", "message", "msg", "MESSAGE", "content", "line"), F.col("_text")), 300).alias("message_summary"),
+        single_spaced(F.coalesce(get("log", "message", "msg", "MESSAGE", "content", "line"), F.col("_text"))).alias("message_summary"),
         F.lit(0.85).alias("parser_confidence"), F.when(F.col("_m").isNull(), "invalid container log JSON record").alias("_error"),
     )
 
@@ -406,7 +398,7 @@ def _container_json(df: DataFrame) -> DataFrame:
 def _container_text(df: DataFrame) -> DataFrame:
     first = F.regexp_extract("_text", r"^(\S+)", 1)
     return df.select(
-        *df.columns, F.when(first.rlike("T|-"), first).alias("timestamp"), bounded(F.col("_text"), 300).alias("message_summary"),
+        *df.columns, F.when(first.rlike("T|-"), first).alias("timestamp"), single_spaced(F.col("_text")).alias("message_summary"),
         F.lit(0.65).alias("parser_confidence"), F.lit(None).cast("string").alias("_error"),
     )
 
@@ -418,14 +410,12 @@ def parse_container_log(lines: DataFrame, runtime: str) -> Parsed:
     return _done(merged, CONTAINER_LOG, "CTR-LOG-", "container_log")
 
 
-def in_collection_window(events: DataFrame, since: Column | None, until: Column | None, tz_offset: str = "+00:00",
-                         max_records: int | None = None) -> DataFrame:
-    """Collection window (undated rows kept); the record cap applies to what the window keeps."""
+def in_collection_window(events: DataFrame, since: Column | None, until: Column | None, tz_offset: str = "+00:00") -> DataFrame:
+    """Collection window (undated rows kept)."""
     at = instant(F.col("timestamp"), tz_offset)
     keep = F.lit(True)
     if since is not None:
         keep = keep & (at >= since)
     if until is not None:
         keep = keep & (at <= until)
-    kept = events.where(at.isNull() | keep)
-    return kept.limit(max_records) if max_records is not None else kept
+    return events.where(at.isNull() | keep)

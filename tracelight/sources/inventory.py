@@ -31,7 +31,7 @@ INVENTORIES = {
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All-text CSV with normalised header names; short rows are padded, long rows cut."""
+    """All-text CSV with normalised header names; short rows are padded, cells beyond the header are dropped."""
     raw = spark.read.option("header", True).option("multiLine", False).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
     return raw.select(*[F.trim(F.col(f"`{c}`")).alias(field_name(c)) for c in raw.columns])
 
@@ -119,11 +119,12 @@ def read_ioc(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         return shape_iocs(read_csv(spark, path), path, strict_type=True)
     if lowered.endswith(".json") or lowered.endswith(".jsonl"):
         return shape_iocs(spark.read.option("multiLine", lowered.endswith(".json")).option("primitivesAsString", True).json(path), path, strict_type=False)
-    lines = read_log_lines(spark, path).select("line_number", F.trim("text").alias("line")).where(~F.col("line").startswith("#"))
+    lines = read_log_lines(spark, path).select("source_file", "line_number", F.trim("text").alias("line")).where(~F.col("line").startswith("#"))
     left, right = F.trim(F.split_part("line", F.lit(","), F.lit(1))), F.trim(F.regexp_replace("line", r"^[^,]*,", ""))
     typed = F.col("line").contains(",") & ioc_type(left).isNotNull()
-    rows = lines.select(
-        F.col("line_number").alias("seq"), F.when(typed, right).otherwise(left).alias("value"), F.when(typed, left).alias("type")
+    # numbered over all files of the feed: equal line numbers of two files are different indicators
+    rows = global_index(lines, ["source_file", "line_number"], "seq").select(
+        "seq", F.when(typed, right).otherwise(left).alias("value"), F.when(typed, left).alias("type")
     )
     return shape_iocs(rows, path, strict_type=False)
 
@@ -147,4 +148,6 @@ def read_geoip(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         rows = read_csv(spark, path)
     else:
         rows = spark.read.option("multiLine", lowered.endswith(".json")).option("primitivesAsString", True).json(path)
-    return shape_geoip(rows.withColumn("file_order", F.monotonically_increasing_id()))
+    # the scan order of several files is not their order: files by name, then the order inside
+    placed = rows.withColumn("_file", F.input_file_name()).withColumn("_place", F.monotonically_increasing_id())
+    return shape_geoip(global_index(placed, ["_file", "_place"], "file_order"))

@@ -14,8 +14,7 @@ from tracelight.functions.frames import settled
 from tracelight.functions.text import redact, sha256_hex
 from tracelight.schema import PARSE_ERROR, conform
 
-MAX_LINE_BYTES = 1 << 20
-BROADCAST_SPLITS = 200_000  # rows; an offset row is about 200 bytes
+LONG_LINE_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -34,19 +33,18 @@ def read_log_lines(spark: SparkSession, paths: str | Sequence[str], recursive: b
     the lines of the file's earlier splits. Only one row per split is shuffled for that.
     """
     reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", str(recursive).lower())
-    raw = reader.text(list(paths) if not isinstance(paths, str) else paths).select(
-        F.col("value"), F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_name").alias("_name"),
-        F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_row"),
+    found = reader.text(list(paths) if not isinstance(paths, str) else paths)
+    if name_pattern:  # before the row id, so that it prunes files
+        found = found.where(F.lower(F.col("_metadata.file_name")).rlike(name_pattern))
+    raw = found.select(
+        F.col("value"), F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_row"),
     )
-    if name_pattern:
-        raw = raw.where(F.lower("_name").rlike(name_pattern))
     splits = raw.groupBy("source_file", "_split").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("source_file").orderBy("_split").rowsBetween(W.unboundedPreceding, -1)
     offsets = splits.select(
         "source_file", "_split", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
-    if splits_of(raw) <= BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
     numbered = raw.join(offsets, ["source_file", "_split"])
     return decode_lines(
         numbered.select(
@@ -55,25 +53,19 @@ def read_log_lines(spark: SparkSession, paths: str | Sequence[str], recursive: b
     )
 
 
-def splits_of(scan: DataFrame) -> int:
-    """Upper bound of the input splits of a file scan, known before anything runs."""
-    return scan.rdd.getNumPartitions() + len(scan.inputFiles())
-
-
 def decode_lines(raw: DataFrame) -> DataFrame:
-    """Adds hash, length and damage flags to ``(source_file, line_number, value)`` and drops blank lines."""
+    """Adds hash, length and damage flags to ``(source_file, line_number, value)`` and drops blank lines; lines are kept whole."""
     # rtrim keeps the raw bytes, which a regular expression would decode
     body = raw.select("source_file", "line_number", F.rtrim(F.col("value"), F.lit("\r\n")).alias("_raw"))
     present = settled(body).where(F.col("_raw").rlike(r"[^\s\uFEFF]"))
     size = F.octet_length("_raw")
-    capped = F.when(size > MAX_LINE_BYTES, F.substring(F.col("_raw").cast("binary"), 1, MAX_LINE_BYTES).cast("string")).otherwise(F.col("_raw"))
-    staged = present.select("source_file", "line_number", capped.alias("_body"), (size > MAX_LINE_BYTES).alias("was_truncated"))
+    staged = present.select("source_file", "line_number", F.col("_raw").alias("_body"), (size > LONG_LINE_BYTES).alias("is_long"))
     sound = F.is_valid_utf8("_body")
     text = F.when(sound, F.col("_body")).otherwise(F.make_valid_utf8("_body"))
     return staged.select(
         "source_file", "line_number", F.when(text.startswith("\ufeff"), F.expr("substring(_body, 2)")).otherwise(text).alias("text"),
         sha256_hex(F.col("_body")).alias("raw_hash"), F.octet_length("_body").cast("long").alias("byte_len"),
-        (~sound).alias("had_invalid_utf8"), "was_truncated",
+        (~sound).alias("had_invalid_utf8"), "is_long",
     )
 
 
@@ -101,8 +93,8 @@ def line_rejects(lines: DataFrame, parser: Column | str) -> DataFrame:
     """Warnings about damaged lines, which are still parsed."""
     name = F.lit(parser) if isinstance(parser, str) else parser
     problems = F.array_compact(F.array(
-        F.when(F.col("was_truncated"), F.lit("line exceeded max line length and was truncated")),
-        F.when(F.col("had_invalid_utf8"), F.lit("line contained invalid UTF-8 and was decoded lossily")),
+        F.when(F.col("is_long"), F.lit("line is longer than 1 MiB and was read whole")),
+        F.when(F.col("had_invalid_utf8"), F.lit("bytes that are not UTF-8 were replaced")),
     ))
     return lines.withColumn("message", F.explode(problems)).withColumn("parser_name", name)
 
