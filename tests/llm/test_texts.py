@@ -63,17 +63,17 @@ def test_base_counts(spark):
 def test_js_distance(spark):
     from pyspark.sql import functions as F
 
-    from tracelight.llm.quality import js_distance
+    from tracelight.llm.quality import js_distance, total
 
     cases = [([1, 0], [0, 1]), ([1, 1], [2, 2]), ([3, 1, 0], [1, 1, 2])]
-    df = spark.createDataFrame(cases, "p array<long>, q array<long>").select(js_distance(F.col("p"), F.col("q")).alias("d"))
+    df = spark.createDataFrame(cases, "p array<long>, q array<long>").select(js_distance(F.col("p"), total(F.col("p")), F.col("q"), total(F.col("q"))).alias("d"))
     got = [r.d for r in df.collect()]
     for (p, q), d in zip(cases, got):
         a, b = np.array(p) / sum(p), np.array(q) / sum(q)
         m = (a + b) / 2
         kl = lambda x: sum(v * np.log2(v / w) for v, w in zip(x, m) if v)
         assert d == pytest.approx(np.sqrt((kl(a) + kl(b)) / 2), abs=1e-9)
-    assert spark.createDataFrame([([0, 0], [1, 1])], "p array<long>, q array<long>").select(js_distance(F.col("p"), F.col("q"))).collect()[0][0] is None
+    assert spark.createDataFrame([([0, 0], [1, 1])], "p array<long>, q array<long>").select(js_distance(F.col("p"), total(F.col("p")), F.col("q"), total(F.col("q")))).collect()[0][0] is None
 
 
 @have_tables

@@ -90,14 +90,20 @@ def references(measures: DataFrame) -> DataFrame:
     return out.select("lang", F.array(*[f"chars{i}" for i in range(len(CLASSES))]).alias("ref_chars"), F.array(*[f"common{i}" for i in range(n_common)]).alias("ref_common"))
 
 
-def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two count arrays of one length; null if one of them sums to zero."""
-    total = lambda x: F.nullif(F.aggregate(x, F.lit(0).cast("double"), lambda a, v: a + v), F.lit(0.0))
+def total(counts: Column) -> Column:
+    """Sum of a count array; null instead of zero."""
+    return F.nullif(F.aggregate(counts, F.lit(0).cast("double"), lambda a, v: a + v), F.lit(0.0))
+
+
+def js_distance(p: Column, p_total: Column, q: Column, q_total: Column) -> Column:
+    """Jensen-Shannon distance of two count arrays of one length, given their sums; null if a sum is null.
+
+    The sums are arguments because inside a lambda they would be added up anew for every element.
+    """
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
-    shares = F.zip_with(p, q, lambda a, b: F.struct((a / total(p)).alias("a"), (b / total(q)).alias("b")))
-    terms = F.transform(shares, lambda s: part(s["a"], (s["a"] + s["b"]) / 2) + part(s["b"], (s["a"] + s["b"]) / 2))
+    terms = F.zip_with(p, q, lambda a, b: part(a / p_total, (a / p_total + b / q_total) / 2) + part(b / q_total, (a / p_total + b / q_total) / 2))
     far = F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, v: a + v) / 2, F.lit(0.0)))
-    return F.when(total(p).isNotNull() & total(q).isNotNull(), far)
+    return F.when(p_total.isNotNull() & q_total.isNotNull(), far)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -115,12 +121,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     c = F.col
 
     def distance(own: str, ref: str, guard: Column) -> Column:
-        far = [js_distance(c(own), F.lit(r[ref])) for r in refs]
+        far = [js_distance(c(own), c(f"{own}_total"), F.lit(r[ref]), F.lit(float(sum(r[ref])) or None)) for r in refs]
         nearest = F.lit(None).cast("double") if not far else far[0] if len(far) == 1 else F.least(*far)
         return F.when(c("lang").isin([r["lang"] for r in refs]) & guard, nearest)
 
     above = lambda name, bound: F.coalesce(c(name) > F.sqrt(F.lit(bound[0] ** 2) + F.lit(bound[1]) / F.greatest(c("n_words"), F.lit(1))), F.lit(False))
-    both = measures.withColumn("char_distance", distance("chars", "ref_chars", c("word_chars") >= MIN_CHARS_JUDGED)) \
+    both = measures.withColumn("chars_total", total(c("chars"))).withColumn("common_total", total(c("common")))
+    both = both.withColumn("char_distance", distance("chars", "ref_chars", c("word_chars") >= MIN_CHARS_JUDGED)) \
         .withColumn("word_distance", distance("common", "ref_common", c("n_words") >= MIN_WORDS_JUDGED))
     diverges = above("char_distance", CHAR_BOUND) | above("word_distance", WORD_BOUND)
     return both.select("doc_id", *[c(f"_c{i}").alias(x) for i, x in enumerate(extra)], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
