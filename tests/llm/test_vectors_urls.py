@@ -50,6 +50,23 @@ def test_forest_recall(spark):
     assert recall(got, exact) >= 0.9
 
 
+@pytest.mark.parametrize("n", [3000, 9000])
+def test_forest_is_whole_at_a_small_reach(spark, monkeypatch, n):
+    """Vectors without structure and trees that offer a small share of the table: nothing is missed at any size."""
+    from tracelight.llm import forest
+
+    monkeypatch.setattr(forest, "PASS_VALUES", 30_000)
+    vectors = np.random.default_rng(n).normal(size=(n, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors[n // 2 : n // 2 + 30] = vectors[40]  # ties at the border
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = found(forest.nearest(df, every=60, trees=3, reach=16, candidates=48))
+    want = {q: best for q, best in brute.nearest(list(range(n)), vectors).items() if q % 60 == 0}
+    assert got.keys() == want.keys()
+    for q in want:
+        assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
+
+
 def test_prefix_length():
     from tracelight.llm.forest import STRING_BITS, prefix_length
 

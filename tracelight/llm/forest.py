@@ -4,13 +4,14 @@ Method. Each tree gives every vector a 63-bit string: the signs of its products
 A tree is the sorted array of its strings; the deepest match of a query is where its own string would stand, and the
 strings around that place have the longest common prefixes with it. A query descends in all trees at once, then ascends
 level by level in all trees together: the prefix length that counts falls until the trees together offer ``candidates``
-rows. What is found is scored with the exact inner product.
+rows. What is found is scored with the exact inner product. How good that is falls as rows grow, so it is a bound only:
+a last pass scores every row with every query, in blocks, and keeps what reaches the query's bound. The result is exact.
 
 Inner products are made angles by one more dimension that lifts all rows to the norm of the longest. Equal vectors are
 one entry, which keeps its 21 smallest ids: no result needs more. A tree's array is cut into blocks by rank; each block
 has the ``reach`` rows beyond its borders too, so the window around a query is complete in one task. The index is fitted
-on the largest norm alone, and on no sample; ``reach`` and ``candidates`` are the bounds of the search (not of the
-index), and recall at them is measured by ``recall``.
+on the largest norm alone, and on no sample; ``reach`` and ``candidates`` are the bounds of the search in the trees, and
+the better they are, the fewer pairs leave the last pass. Its work is rows times queries.
 """
 
 from __future__ import annotations
@@ -19,17 +20,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import written
+from tracelight.llm.common import file_system, shared_folder, written
 
 TREES = 40
 REACH = 512
 CANDIDATES = TREES * REACH
 STRING_BITS = 63
 BLOCK_ROWS = 4096
+PASS_VALUES = 1 << 21  # vector components of the rows that the last pass holds at a time
+PASS_QUERIES = 256
 
 
 def directions(dims: int, trees: int, seed: int = 7) -> np.ndarray:
@@ -76,9 +81,60 @@ def _array(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def above_bounds(entries: DataFrame, queries: DataFrame, longest: float, most: int) -> DataFrame:
+    """``rep, score, ids`` of every entry (``rep, ids, v``) that scores at least the ``bound`` of a query (``rep, v, bound``).
+
+    Of the entries that a task holds at a time, those beyond the ``most`` best of a query are left out; ties stay. The
+    queries are a table in the shared folder, which each task reads through: nothing is copied per query.
+    """
+    spark = entries.sparkSession
+    path = shared_folder(spark)
+    queries.select("rep", "v", F.col("bound").cast("double")).write.parquet(path)
+
+    def asked() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        system, folder = file_system(path)
+        for info in system.get_file_info(fs.FileSelector(folder)):
+            if info.base_name.endswith(".parquet"):
+                with system.open_input_file(info.path) as file:
+                    for batch in pq.ParquetFile(file).iter_batches(PASS_QUERIES):
+                        if batch.num_rows:
+                            yield batch.column(0).to_numpy(), _array(batch.column(1)).astype(np.float64), batch.column(2).to_numpy()
+
+    def pairs(x: np.ndarray, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+        for reps, q, bound in asked():
+            # the products of a matrix are rounded in another order: what may reach the bound is taken, and scored again
+            slack = 8 * x.shape[1] * np.finfo(np.float64).eps * longest * np.sqrt((q * q).sum(axis=1))
+            score = q @ x.T
+            floor = bound
+            if len(x) > most:
+                floor = np.maximum(bound, -np.inf)
+                many = np.flatnonzero((score >= (bound - slack)[:, None]).sum(axis=1) > most)
+                floor[many] = np.maximum(floor[many], np.partition(score[many], -most, axis=1)[:, -most])
+            a, b = np.nonzero(score >= (floor - slack)[:, None])
+            for at in range(0, len(a), 65536):
+                i, j = a[at : at + 65536], b[at : at + 65536]
+                yield pa.RecordBatch.from_arrays([pa.array(reps[i]), pa.array((x[j] * q[i]).sum(axis=1)), ids.take(pa.array(j))], names=["rep", "score", "ids"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, values = [], 0
+        for batch in parts:
+            held.append(batch)
+            values += len(batch.column(1).flatten())
+            if values >= PASS_VALUES:
+                table = pa.Table.from_batches(held).combine_chunks()
+                held, values = [], 0
+                yield from pairs(_array(table.column("v").combine_chunks()).astype(np.float64), table.column("ids").combine_chunks())
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from pairs(_array(table.column("v").combine_chunks()).astype(np.float64), table.column("ids").combine_chunks())
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return entries.select("ids", "v").repartition(max(1, parts)).mapInArrow(run, "rep long, score double, ids array<long>")
+
+
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, trees: int = TREES, reach: int = REACH,
             candidates: int = CANDIDATES, block_rows: int = BLOCK_ROWS, seed: int = 7) -> DataFrame:
-    """``query_id, rank, vec_id, score`` of the ``k`` nearest rows found for each row whose id is divisible by ``every``.
+    """``query_id, rank, vec_id, score`` of the ``k`` nearest rows for each row whose id is divisible by ``every``.
 
     Nearest is the largest inner product in double precision, ties go to the smaller id, and a query is not its own
     neighbour. Rows without an id, and vectors that are null, empty, zero, of another length than most, or hold null or
@@ -179,10 +235,17 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding
     asked_rows = blocks.where("asking = 1").join(reached, "rep").select(*blocks.columns, "least")
     with_level = asked_rows.unionByName(blocks.where("asking = 0").withColumn("least", F.lit(None).cast("long")))
     found = with_level.groupBy("block").applyInArrow(scored, "rep long, score double, ids array<long>")
-    # a tree finds what another has found: one row per pair of query and id
-    pairs = found.select("rep", "score", F.explode("ids").alias("vec_id")).groupBy("rep", "vec_id").agg(F.max("score").alias("score"))
-    best = pairs.withColumn("place", F.row_number().over(W.partitionBy("rep").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= most)
-    best = written(best.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("best")))
+
+    def best_of(found: DataFrame) -> DataFrame:
+        # a tree finds what another has found: one row per pair of query and id
+        pairs = found.select("rep", "score", F.explode("ids").alias("vec_id")).groupBy("rep", "vec_id").agg(F.max("score").alias("score"))
+        best = pairs.withColumn("place", F.row_number().over(W.partitionBy("rep").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= most)
+        return written(best.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("best")))
+
+    # whatever is better than the last of ``most`` rows that the trees found is still to be found
+    bounds = best_of(found).select("rep", F.when(F.size("best") >= most, -F.element_at("best", -1)["s"]).alias("bound"))
+    queries = entries.where("asks").select("rep", "v").join(bounds, "rep", "left").select("rep", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+    best = best_of(above_bounds(entries, queries, longest, most))
     owners = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("h").alias("rep"))
     result = owners.join(best, "rep").select("query_id", F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k).alias("best"))
     return result.select("query_id", F.posexplode("best").alias("place", "b")).select(
