@@ -53,6 +53,39 @@ def test_similar_documents(spark):
     assert similar_documents(df.limit(0)).count() == 0
 
 
+def changed(words, similarity, random, k=5):
+    """``words`` with words replaced until the similarity is at most ``similarity``."""
+    w, sets = list(words), lambda x: {tuple(x[i : i + k]) for i in range(len(x) - k + 1)}
+    own = sets(w)
+    while True:
+        now = sets(w)
+        if len(own & now) / len(own | now) <= similarity:
+            return w
+        w[int(random.integers(0, len(w)))] = f"new{int(random.integers(0, 1 << 30))}"
+
+
+def test_similarity_is_exact(spark):
+    """Planted pairs on both sides of the bound: links are those of at least 0.8 exactly."""
+    from tracelight.llm.simhash import similar_documents
+
+    random = np.random.default_rng(21)
+    texts = []
+    for i in range(400):
+        w = [f"w{x}" for x in random.integers(0, 5000, 600)]
+        target = random.uniform(0.65, 0.799) if i % 2 else random.uniform(0.81, 0.86)
+        texts += [" ".join(w), " ".join(changed(w, target, random))]
+    template = [f"t{x}" for x in random.integers(0, 5000, 600)]
+    texts += [" ".join(changed(template, 0.86, random)) for _ in range(60)]  # about 0.75 to each other
+    got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    pairs = [(2 * i, 2 * i + 1) for i in range(400)]
+    close = {p for p in pairs if jaccard(texts[p[0]], texts[p[1]]) >= 0.8}
+    joined = {p for p in pairs if got[p[0]] == got[p[1]]}
+    assert len(close) == 200 and joined <= close and len(joined) >= 0.98 * len(close)
+    near = range(800, len(texts))
+    alone = [a for a in near if all(a == b or jaccard(texts[a], texts[b]) < 0.8 for b in near)]
+    assert len(alone) > 30 and all(got[a] == a and sum(c == a for c in got.values()) == 1 for a in alone)
+
+
 def test_stages(spark):
     import corpus_pipeline
     from tracelight.llm.common import written
