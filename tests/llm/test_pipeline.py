@@ -86,6 +86,24 @@ def test_similarity_is_exact(spark):
     assert len(alone) > 30 and all(got[a] == a and sum(c == a for c in got.values()) == 1 for a in alone)
 
 
+def test_near_copies_go_by_row(spark):
+    """Ids that are null or repeat: one row of each group stays, and no text is lost."""
+    from tracelight.llm.stages import drop_near_copies
+
+    random = np.random.default_rng(22)
+    a, b, c, d = ([f"{x}{i}" for i in random.integers(0, 5000, 300)] for x in "abcd")
+    edit = lambda w: " ".join([*w[:150], "edited", *w[150:]])
+    rows = [
+        (None, " ".join(a), "en"), (None, edit(a), "en"),  # both without an id
+        (5, " ".join(b), "en"), (5, " ".join(b), "en"),  # equal rows
+        (1, " ".join(c), "en"), (7, edit(c), "en"), (7, " ".join(d), "en"),  # one id, two texts, one of them a copy
+        (None, edit(d), "en"),
+    ]
+    kept = drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()
+    assert kept[0].__fields__ == ["doc_id", "text", "lang"]
+    assert sorted((str(r.doc_id), r.text[0]) for r in kept) == [("1", "c"), ("5", "b"), ("7", "d"), ("None", "a")]
+
+
 def test_stages(spark):
     import corpus_pipeline
     from tracelight.llm.common import written

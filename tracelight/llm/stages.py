@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import read_table, written
+from tracelight.llm.common import read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +27,10 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the row with the smallest id; rows without an id stay."""
-    from tracelight.llm.simhash import similar_documents
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) one row: the smallest id, null ids last."""
+    from tracelight.llm.simhash import first_of_similar
 
-    found = similar_documents(docs.select("doc_id", "text"), shingle=5, similarity=0.8)
-    losers = written(found.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    return first_of_similar(docs, shingle=5, similarity=0.8)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
