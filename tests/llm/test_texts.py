@@ -199,6 +199,35 @@ def test_toxicity_on_held_out_documents(spark):
     assert hits >= 0.9 * sum(r.predicted for r in held)
 
 
+def test_toxicity_of_long_texts(spark):
+    """A text owns only the n-grams that it holds: long clean and toxic texts are told apart like short ones."""
+    from tracelight.llm.toxicity import fit, score
+
+    random = np.random.default_rng(31)
+    word = lambda: "".join(chr(97 + c) for c in random.integers(0, 26, int(random.integers(3, 9))))
+    vocabulary = [word() for _ in range(3000)]
+    draw = lambda k: [vocabulary[i] for i in random.integers(0, 3000, k)]
+    insult = ["vile", "fool", "wretched", "scum", "idiot"]
+    texts = [" ".join(w if not i % 2 or k % 5 else insult[int(random.integers(0, 5))] for k, w in enumerate(draw(60))) for i in range(400)]
+    long = [" ".join(word() for _ in range(150_000)) for _ in range(3)]
+    assert min(map(len, long)) > 900_000
+    docs = docs_of(spark, texts + long + [t + " " + " ".join(insult * 20) for t in long])
+    model = fit(docs, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in score(docs, model).collect() if r.doc_id >= 400}
+    assert min(got[i] for i in (403, 404, 405)) > max(got[i] for i in (400, 401, 402))
+    held = {g for t in long[:1] for n in (3, 4, 5, 6, 7) for g in (t[i : i + n] for i in range(len(t) - n + 1))}
+    _, feature = _features(model, long[0])
+    names = [int(g).to_bytes(8, "big") for g in model.features.grams]
+    own = {i for i, x in enumerate(names) if x[-x[0] :].decode() in held or x[-x[0] :].decode() in (" " + long[0] + " ")}
+    assert set(feature.tolist()) == own and len(own) < len(names)
+
+
+def _features(model, text):
+    from tracelight.llm.toxicity import _grams
+
+    return _grams([text], model.features)
+
+
 def test_toxicity_edges(spark):
     from tracelight.llm.toxicity import fit, score
 

@@ -1,12 +1,13 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Method. The features of a text are the hashed character n-grams (bytes of the lower-cased text, three to seven long,
-a space at both ends) that it holds at least once. For each, the log ratio of its smoothed document counts among toxic
-and other labelled texts is taken; the features of largest chi-square stay, and logistic regression is fitted on their
-presence times that ratio. Scoring looks all n-grams of the whole text up in one table.
-
-The fit reads at most ``max_fit_rows`` labelled documents, chosen by a hash of their ids; everything else is fixed in
-size (2^18 hash buckets, ``n_features`` features and at most two for each document of the fit).
+Method. The features of a text are the character n-grams (bytes of the lower-cased text, three to seven long, a space at
+both ends) that it holds at least once. For each, the log ratio of its smoothed document counts among toxic and other
+labelled texts is taken; the features of largest chi-square stay, and logistic regression is fitted on their presence
+times that ratio. An n-gram is known by 64 bits, its bytes and its length, so none is taken for another. Scoring looks
+all n-grams of the whole text up in one table of buckets, and compares those that may be features.
+
+The fit reads at most ``max_fit_rows`` labelled documents, chosen by a hash of their ids, and counts their n-grams in
+Spark; everything else is fixed in size (``n_features`` features and at most two for each document of the fit).
 """
 
 from __future__ import annotations
@@ -33,41 +34,75 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _grams(texts: list[str | None], table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of every n-gram once per text, or (text, feature) of those that ``table`` knows."""
+def _spread(gram: np.ndarray) -> np.ndarray:
+    """Bucket of each n-gram."""
+    return ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Features:
+    """The chosen n-grams in ascending order, and which buckets hold one."""
+
+    grams: np.ndarray
+    held: np.ndarray
+
+    @staticmethod
+    def of(grams: np.ndarray) -> Features:
+        held = np.zeros(1 << BUCKET_BITS, bool)
+        held[_spread(grams)] = True
+        return Features(grams, held)
+
+    def find(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``gram`` that are a feature, and which."""
+        at = np.flatnonzero(self.held[_spread(gram)])
+        feature = np.minimum(np.searchsorted(self.grams, gram[at]), max(0, len(self.grams) - 1))
+        same = self.grams[feature] == gram[at] if len(at) else np.zeros(0, bool)
+        return at[same], feature[same]
+
+
+def _named(texts: list[str | None], features: Features | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length, (text, n-gram) at every place of the texts, or (text, feature) of those among ``features``."""
     raw = [b" " + (t or "").lower().encode("utf-8", "surrogatepass") + b" " for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
     ends = np.cumsum([len(r) for r in raw])
-    found = []
-    rolled = data.astype(np.uint32)
+    gram = data.astype(np.uint64)
     for n in range(2, max(ORDERS) + 1):
         if len(data) < n:
             break
-        rolled = rolled[: len(data) - n + 1] * np.uint32(0x01000193) + data[n - 1 :]
+        gram = (gram[: len(data) - n + 1] << np.uint64(8)) | data[n - 1 :]
         if n not in ORDERS:
             continue
-        bucket = (rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x9E3779B1) >> np.uint32(32 - BUCKET_BITS)
-        if table is None:
-            at, feature = np.arange(len(bucket)), bucket
-        else:
-            feature = table[bucket]
-            at = np.flatnonzero(feature >= 0)
-            feature = feature[at]
-        text = np.searchsorted(ends, at, side="right")
+        named = gram | np.uint64(n << 56)  # seven bytes and the length fill 64 bits
+        at, found = (np.arange(len(named)), named) if features is None else features.find(named)
+        text = np.searchsorted(ends, at, side="right").astype(np.int32)
         inside = at + n <= ends[text] if len(at) else np.zeros(0, bool)
-        found.append((text[inside].astype(np.int64) << BUCKET_BITS) | feature[inside].astype(np.int64))
-    both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return both >> BUCKET_BITS, both & ((1 << BUCKET_BITS) - 1)
+        yield text[inside], found[inside]
+
+
+def _distinct(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, n-gram) once per text, ascending by n-gram; one pair of arrays for each length, which bounds what is in memory."""
+    for text, gram in _named(texts):
+        order = np.argsort(gram, kind="stable")  # places ascend by text
+        text, gram = text[order], gram[order]
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (gram[1:] != gram[:-1])
+        yield text[new], gram[new]
+
+
+def _grams(texts: list[str | None], features: Features) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) of every n-gram among ``features``, once per text and ascending by text."""
+    both = np.unique(np.concatenate([np.zeros(0, np.int64)] + [(text.astype(np.int64) << 32) | found for text, found in _named(texts, features)]))
+    return both >> 32, both & 0xFFFFFFFF
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    table: np.ndarray  # bucket to feature, -1 for none
+    features: Features
     weights: np.ndarray
     bias: float
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        text, feature = _grams(texts, self.table)
+        text, feature = _grams(texts, self.features)
         total = self.bias + np.bincount(text, weights=self.weights[feature], minlength=len(texts))
         return 1.0 / (1.0 + np.exp(-np.clip(total, -500, 500)))
 
@@ -83,48 +118,45 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str,
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", max_fit_rows: int = MAX_FIT_ROWS, n_features: int = N_FEATURES) -> ToxicityModel:
     sample = written(labelled_sample(docs, labels, id_col, text, max_fit_rows).repartition(8, "_id"))
-    buckets = 1 << BUCKET_BITS
+    labelled = sample.select("_text", F.when(F.col("_y") > 0, 1).otherwise(0).alias("_y"))
 
     def counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, buckets), np.int64)
-        rows = [0, 0]
         for batch in parts:
             texts, ys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts, 500_000):
-                who, bucket = _grams(texts[a:b])
-                y = np.array(ys[a:b])
-                for k in (0, 1):
-                    seen[k] += np.bincount(bucket[y[who] == k], minlength=buckets)
-                    rows[k] += int((y == k).sum())
-        some = np.flatnonzero(seen.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(seen[0][some], rows[0])), pa.array(np.append(seen[1][some], rows[1]))],
-                                         names=["bucket", "other", "toxic"])
-
-    summed = sample.select("_text", F.when(F.col("_y") > 0, 1).otherwise(0).alias("_y")).mapInArrow(counts, "bucket long, other long, toxic long") \
-        .groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toArrow()
-    bucket = summed.column("bucket").to_numpy()
-    tally = np.stack([summed.column("other").to_numpy(), summed.column("toxic").to_numpy()]).astype(np.float64)
-    rows = tally[:, bucket == -1].sum(axis=1) if (bucket == -1).any() else np.zeros(2)
-    tally, bucket = tally[:, bucket >= 0], bucket[bucket >= 0]
-    table = np.full(buckets, -1, np.int32)
+                toxic_text = np.array(ys[a:b]) == 1
+                for who, gram in _distinct(texts[a:b]):
+                    if not len(gram):
+                        continue
+                    edges = np.concatenate([[0], np.flatnonzero(gram[1:] != gram[:-1]) + 1])
+                    toxic = np.add.reduceat(toxic_text[who].astype(np.int32), edges)
+                    other = np.diff(np.append(edges, len(gram))).astype(np.int32) - toxic
+                    yield pa.RecordBatch.from_arrays([pa.array(gram[edges].view(np.int64)), pa.array(other, pa.int32()), pa.array(toxic, pa.int32())], names=["gram", "other", "toxic"])
+
+    n_of = {r["_y"]: r["n"] for r in labelled.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = np.array([n_of.get(0, 0), n_of.get(1, 0)], np.float64)
     if not rows.all():  # nothing to tell apart: the share of toxic labels, zero without labels
         share = float(rows[1] / rows.sum()) if rows.sum() else 0.0
-        return ToxicityModel(table, np.zeros(1), float(np.log(share / (1 - share))) if 0 < share < 1 else (-500.0 if share == 0 else 500.0))
-    ratio = np.log((tally[1] + 1) / (rows[1] + 2)) - np.log((tally[0] + 1) / (rows[0] + 2))
-    total, n = tally.sum(axis=0), rows.sum()
-    expected = total * rows[1] / n
-    spread = expected * (1 - rows[1] / n) * (1 - total / n) + 1e-9
-    chi = (tally[1] - expected) ** 2 / np.maximum(spread, 0.25)
+        return ToxicityModel(Features.of(np.zeros(0, np.uint64)), np.zeros(1), float(np.log(share / (1 - share))) if 0 < share < 1 else (-500.0 if share == 0 else 500.0))
+    n = float(rows.sum())
+    summed = labelled.mapInArrow(counts, "gram long, other int, toxic int").groupBy("gram").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    total = F.col("other") + F.col("toxic")
+    expected = total * float(rows[1] / n)
+    spread = expected * float(1 - rows[1] / n) * (F.lit(1.0) - total / n) + 1e-9
+    chi = (F.col("toxic") - expected) * (F.col("toxic") - expected) / F.greatest(spread, F.lit(0.25))
     # more features than two per document would be learned by heart
-    kept = np.lexsort((bucket, -chi))[: min(n_features, int(2 * n))]
-    table[bucket[kept]] = np.arange(len(kept))
-    ratio = ratio[kept]
+    kept = summed.select("gram", "other", "toxic", chi.alias("chi")).orderBy(F.desc("chi"), "gram").limit(min(n_features, int(2 * n))).toArrow()
+    grams = kept.column("gram").to_numpy().view(np.uint64)
+    order = np.argsort(grams)
+    features = Features.of(grams[order])
+    other, toxic = (kept.column(c).to_numpy()[order].astype(np.float64) for c in ("other", "toxic"))
+    ratio = np.log((toxic + 1) / (rows[1] + 2)) - np.log((other + 1) / (rows[0] + 2))
 
     def presence(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             ids, texts, ys = (batch.column(i).to_pylist() for i in range(3))
             for a, b in slices(texts, 2_000_000):
-                who, feature = _grams(texts[a:b], table)
+                who, feature = _grams(texts[a:b], features)
                 cuts = np.searchsorted(who, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(ys[a:b], pa.int32()),
                     pa.array([feature[i:j].astype("<u2").tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["id", "y", "features"])
@@ -134,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     lists = [np.frombuffer(x, "<u2").astype(np.int64) for x in fitted.column("features").to_pylist()]
     y = fitted.column("y").to_numpy().astype(np.float64)
     weights, bias = _logistic(lists, y, ratio)
-    return ToxicityModel(table, weights * ratio, bias)
+    return ToxicityModel(features, weights * ratio, bias)
 
 
 def _logistic(lists: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.02, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
