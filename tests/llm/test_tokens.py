@@ -172,3 +172,14 @@ def test_code_lengths_and_blocks():
             sizes = np.array([size]) if size else np.array([0])
             got, documents = codec.decode_block(codec.encode_block(ids, sizes))
             assert got.tolist() == ids.tolist() and documents.tolist() == sizes.tolist()
+
+
+def test_ids_beyond_16_bits_are_refused(spark, tmp_path):
+    from tracelight.llm import huffman, token_files
+
+    assert token_files.narrow(np.array([0, 65535], np.int64)).tolist() == [0, 65535]
+    for bad in (65536, -1):
+        with pytest.raises(ValueError):
+            token_files.narrow(np.array([0, bad], np.int64))
+    with pytest.raises(ValueError):
+        huffman.write_coded(spark.createDataFrame([(1, "a")], "doc_id long, text string"), str(tmp_path), end_id=65536)

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelight.llm.common import shared_folder, slices, written
-from tracelight.llm.token_files import TaskFile, read_range
+from tracelight.llm.token_files import TaskFile, narrow, read_range
 from tracelight.llm.tokens import library_encoder, tokenizer_path
 
 MAX_BITS = 18
@@ -160,6 +160,8 @@ def write_coded(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str
     """
     path, spark = tokenizer or tokenizer_path(), docs.sparkSession
     size = 1 << 16
+    if not 0 <= end_id < size:
+        raise ValueError("ids are 16-bit")
 
     def tokens(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(path)
@@ -167,7 +169,7 @@ def write_coded(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str
             names, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in slices(texts, 2_000_000):
                 flat, counts = encoder.encode(texts[a:b])
-                flat = np.insert(flat.astype("<u2"), np.cumsum(counts), end_id).astype("<u2")
+                flat = np.insert(narrow(flat), np.cumsum(counts), end_id).astype("<u2")
                 edges = np.concatenate([[0], np.cumsum(counts + 1)]).tolist()
                 yield pa.RecordBatch.from_arrays([names.slice(a, b - a), pa.array([flat[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:])], pa.binary())], names=["doc_id", "ids"])
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+
 from tracelight.llm.common import file_system
 
 
@@ -35,3 +37,10 @@ def read_range(folder: str, path: str, start: int, length: int) -> bytes:
     fs, _ = file_system(folder)
     with fs.open_input_file(path) as f:
         return f.read_at(length, start)
+
+
+def narrow(ids: np.ndarray) -> np.ndarray:
+    """Token ids as 16 bits; a vocabulary that needs more is refused."""
+    if len(ids) and (ids.max() >= 1 << 16 or ids.min() < 0):
+        raise ValueError("ids are 16-bit")
+    return ids.astype("<u2")

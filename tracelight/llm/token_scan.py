@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelight.llm.common import shared_folder, slices, written
-from tracelight.llm.token_files import TaskFile, read_range
+from tracelight.llm.token_files import TaskFile, narrow, read_range
 from tracelight.llm.tokens import library_encoder, tokenizer_path
 
 BLOCK_TOKENS = 1 << 20
@@ -42,7 +42,7 @@ def write_flat(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str =
             for a, b in slices(texts):
                 flat, counts = encoder.encode(texts[a:b])
                 ends = np.cumsum(counts)
-                out.write(np.insert(flat.astype("<u2"), ends, end_id).astype("<u2").tobytes())
+                out.write(np.insert(narrow(flat), ends, end_id).astype("<u2").tobytes())
                 yield pa.RecordBatch.from_pydict({"file": [out.path], "tokens": [out.size // 2], "part": [part], "doc_ids": [ids[a:b]]}, schema=schema)
                 part += 1
         out.close()
