@@ -137,8 +137,8 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert "pipeline" in names and {f"op{n}_" for n in range(1, 11)} == {n.split("_")[0] + "_" for n in names if n.startswith("op") and n[2].isdigit()}
-    assert "op10_url_filter" in entry.oracle_sql()
+    assert "pipeline" in names and {f"op{n}_" for n in range(1, 14)} == {n.split("_")[0] + "_" for n in names if n.startswith("op") and n[2].isdigit()}
+    assert {"op10_url_filter", "op11_secret_scan"} <= set(entry.oracle_sql())
 
 
 def test_url_sql(spark):

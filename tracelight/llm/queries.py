@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelight.llm.common import read_table
+from tracelight.llm.secrets import secrets_sql
 from tracelight.llm.url_filter import url_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +93,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelight.llm.url_filter import judge_urls
 
     return judge_urls(read_table(spark, sf_dir, "pages"))
+
+
+@_query("op11_secret_scan", sql=secrets_sql())
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelight.llm.secrets import scan
+
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
+@_query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelight.llm.whitening import whiten
+
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelight.llm.repair import damage_and_repair
+
+    return damage_and_repair(read_table(spark, sf_dir, "conversations"))
