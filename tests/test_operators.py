@@ -125,7 +125,7 @@ def test_rules_to_findings(spark):
     assert set(got) == {("WEB-BRUTE-001", "/login"), ("WEB-BRUTE-001", "/admin"), ("WEB-SQLI-001", "/search")}
     brute = got[("WEB-BRUTE-001", "/login")]
     assert (brute.score, brute.severity, brute.line_number, brute.score_breakdown.context_score) == (60, "medium", 1, 25)
-    assert "aggregated 6 matching records" in brute.evidence_summary and brute.finding_id == "F-000002"
+    assert "6 records in all" in brute.evidence_summary and brute.finding_id == "F-000002"
     assert hits.where("suppressed").count() == 1
 
 

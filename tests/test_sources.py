@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tracelight.sources import app, binary, containers, database, host_config, host_events, inventory, waf, web, webconfig
+from tracelight.sources import app, binary, containers, database, host_config, host_events, inventory, signatures, waf, web, webconfig
 from tracelight.sources.lines import read_log_lines, select_log_lines
 
 
@@ -189,12 +189,12 @@ def test_utmp_lastlog_and_strings(spark):
 
 
 def test_literal_signatures(spark):
-    rules = binary.parse_literal_rules('rule a : t1 {\n strings:\n $x = "EvAl(" nocase\n}\nrule none {\n condition: true }', "ns")
+    rules = signatures.parse_literal_rules('rule a : t1 {\n strings:\n $x = "EvAl(" nocase\n}\nrule none {\n condition: true }', "ns")
     assert [(r.name, r.tags, r.literals) for r in rules] == [("a", ("t1",), (("EvAl(", True),))]
     files = spark.createDataFrame([("f", bytearray(b"xx eval(eval("))], "path string, content binary")
-    assert _rows(binary.signature_matches(files, rules), "match_count", "matched_offsets_summary") == [(2, "0x3;0x8")]
-    assert sorted(_rows(binary.signature_offsets(files, rules), "rule_name", "offset")) == [("a", 3), ("a", 8)]
-    two = binary.parse_literal_rules('private rule p { strings: $a = "one }" wide nocase condition: $a == "two" }\nrule q : x y\n{\n  meta:\n    author = "me"\n  strings:\n    $s1 = "a\\"b"\n    $s2 = { 4d 5a }\n  condition:\n    any of them\n}\n', "n")
+    assert _rows(signatures.signature_matches(files, rules), "match_count", "matched_offsets_summary") == [(2, "0x3;0x8")]
+    assert sorted(_rows(signatures.signature_offsets(files, rules), "rule_name", "offset")) == [("a", 3), ("a", 8)]
+    two = signatures.parse_literal_rules('private rule p { strings: $a = "one }" wide nocase condition: $a == "two" }\nrule q : x y\n{\n  meta:\n    author = "me"\n  strings:\n    $s1 = "a\\"b"\n    $s2 = { 4d 5a }\n  condition:\n    any of them\n}\n', "n")
     assert [(r.name, r.tags, r.literals) for r in two] == [("p", (), (("one }", True),)), ("q", ("x", "y"), (("a\"b", False),))]
 
 

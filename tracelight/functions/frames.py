@@ -16,3 +16,15 @@ def settled(df: DataFrame, columns: Sequence[Column | str] | None = None) -> Dat
     """
     row = F.struct(*(columns or df.columns))
     return df.select(F.explode(F.array(row)).alias("_row")).select("_row.*")
+
+
+def joined_narrow(df: DataFrame, narrow: DataFrame, on: Sequence[str], how: str = "left", most_rows: int = 1_000_000) -> tuple[DataFrame, bool]:
+    """``df`` joined with a table of a few values per input split, and whether ``df`` stayed where it was.
+
+    ``narrow`` is computed once and counted; it is broadcast up to ``most_rows`` rows only, beyond that both sides are shuffled.
+    """
+    from tracelight.session import cut_lineage
+
+    fixed = cut_lineage(narrow)
+    small = fixed.count() <= most_rows
+    return df.join(F.broadcast(fixed) if small else fixed, list(on), how), small

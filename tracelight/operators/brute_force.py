@@ -59,8 +59,7 @@ def logon_brute_force(events: DataFrame, system: str, tz_offset: str = "+00:00")
     then = ", followed by a successful logon (4624)" if windows else ", followed by a successful login"
     untimed = F.when(
         F.col("untimed_failures") > 0,
-        F.concat(F.lit(" "), F.col("untimed_failures").cast("string"), F.lit(
-            f" failed {noun}(s) of this source carry no time and were left out of the count.")),
+        F.concat(F.lit("; "), F.col("untimed_failures").cast("string"), F.lit(f" further failed {noun}(s) carry no time and were left out of the count")),
     ).otherwise("")
     summary = F.concat(
         F.lit(f"{THRESHOLD} {what} in ten minutes came from "), F.col("source"),

@@ -15,7 +15,7 @@ from tracelight.plans.correlation_queries import FINDINGS_SQL, derived_findings
 from tracelight.plans.registry import WEB_SQL, http_events, query, table, web_view
 from tracelight.schema import DB_EVENT, FINDING, LINUX_EVENT, WINDOWS_EVENT, conform
 from tracelight.sinks import writers
-from tracelight.sources import binary
+from tracelight.sources import binary, signatures
 
 
 def _s(name: str) -> Column:
@@ -245,21 +245,30 @@ def tagged_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SIGNATURES = """
-rule eval_php : web shell { strings: $a = "eval(" $b = "$_POST" nocase }
+rule eval_php : web shell
+{
+  strings:
+    $a = "eval("
+    $b = "$_POST" nocase
+  condition:
+    any of them
+}
 rule plain_words {
   strings:
     $x = "the " nocase
 }"""
+_SIGNATURES_SQL = """m AS (
+  SELECT id, 'plain_words' AS rule_name, len(regexp_extract_all(body, '(?i)the ')) AS match_count FROM fs
+  UNION ALL SELECT id, 'eval_php', len(regexp_extract_all(body, 'eval\\(')) + len(regexp_extract_all(body, '(?i)\\$_POST')) FROM fs)"""
 
 
 @query("signature_matches", "DET-19", f"""
-WITH {_CONTENT_SQL}, m AS (
-  SELECT id, 'plain_words' AS rule_name, len(regexp_extract_all(body, '(?i)the ')) AS match_count FROM fs)
+WITH {_CONTENT_SQL}, {_SIGNATURES_SQL}
 SELECT * FROM m WHERE match_count > 0""")
 def signature_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [r for r in binary.parse_literal_rules(_SIGNATURES, "local") if r.name == "plain_words"]
+    rules = signatures.parse_literal_rules(_SIGNATURES, "local")
     files = _content(spark, sf_dir).withColumn("path", F.col("id").cast("string"))
-    return binary.signature_matches(files, rules).select(F.col("path").cast("bigint").alias("id"), "rule_name", F.col("match_count").cast("bigint").alias("match_count"))
+    return signatures.signature_matches(files, rules).select(F.col("path").cast("bigint").alias("id"), "rule_name", F.col("match_count").cast("bigint").alias("match_count"))
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:

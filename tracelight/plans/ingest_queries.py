@@ -259,13 +259,17 @@ def _windows_columns(events: DataFrame) -> DataFrame:
                          F.col("command_line_summary").alias("command"), "channel", "provider")
 
 
-@query("windows_xml_roundtrip", "SRC-20 FN-19 PRJ-07", _WIN_SQL)
-def windows_xml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view = web_view(spark, sf_dir)
-    block = F.format_string(
+def windows_block() -> Column:
+    """One event in XML, up to its end tag."""
+    return F.format_string(
         '<Event xmlns="x"><System><Provider Name="Provider-A"/><EventID>%s</EventID><TimeCreated SystemTime="%s"/><Channel>Security</Channel></System>'
         '<EventData><Data Name="IpAddress">%s</Data><Data Name="TargetUserName">u&lt;%d&gt;</Data><Data Name="NewProcessName">C:\\Windows\\cmd.exe</Data>'
         '<Data Name="CommandLine">cmd /c &quot;dir &amp; echo %d&quot;</Data></EventData>', _code(), "stamp", "ip", "user_id", "event_id")
+
+
+@query("windows_xml_roundtrip", "SRC-20 FN-19 PRJ-07", _WIN_SQL)
+def windows_xml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view, block = web_view(spark, sf_dir), windows_block()
     records = view.select(F.lit("security.xml").alias("source_file"), block.alias("value"), F.col("event_id").alias("start_line"))
     return _windows_columns(host_events.parse_windows_xml(records).events)
 

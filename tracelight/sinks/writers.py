@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tracelight.functions.text import redact
 from tracelight.functions.values import text
 from tracelight.rules.model import RuleFile
+from tracelight.sinks import committed
 
 
 def guard_formula(value: Column) -> Column:
@@ -38,7 +39,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """JSON lines that count once the whole job has committed; ``committed.read_jsonl`` reads what was committed."""
+    committed.write_jsonl(df, path)
 
 
 def write_parquet(df: DataFrame, path: str, *partition_by: str) -> None:
@@ -83,8 +85,8 @@ def sarif_results(findings: DataFrame) -> DataFrame:
 def write_sarif(findings: DataFrame, path: str, tool: str = "tracelight", version: str = "1.0.0") -> None:
     """SARIF 2.1.0 as text parts: a head with the rules, the results in id order, a tail.
 
-    Results are written by the executors in sorted parts; concatenating the parts in name order gives
-    one document. The rule list is as long as the rule set.
+    Results are written by the executors in sorted parts; concatenating the committed parts in their order
+    gives one document. The rule list is as long as the rule set.
     """
     head = (
         '{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{"properties":{"offline":"true",'
@@ -98,7 +100,7 @@ def write_sarif(findings: DataFrame, path: str, tool: str = "tracelight", versio
     firsts = rules.agg(F.min("k").alias("k")).unionByName(results.agg(F.min("k").alias("k"))).withColumn("is_first", F.lit(True))
     body = rules.unionByName(results).join(F.broadcast(firsts), "k", "left")  # two rows
     comma = body.select("k", F.when(F.col("is_first"), F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
-    frame.unionByName(comma).repartitionByRange("k").sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
+    committed.write_lines(frame.unionByName(comma).repartitionByRange("k").sortWithinPartitions("k").select("value"), path)
 
 
 def suspicious_events(findings: DataFrame, events: DataFrame, source_type: str, event_columns: Iterable[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracelight.functions.text import extract, sha256_hex
 from tracelight.functions.times import naive_iso
 from tracelight.functions.values import let
-from tracelight.operators.ordered import carry_forward
+from tracelight.operators.splits import carried
 from tracelight.schema import APP_EVENT
 from tracelight.session import cut_lineage
 from tracelight.sources.jsonfields import pick, with_fields
@@ -154,7 +154,7 @@ def fold_continuations(parsed: DataFrame) -> DataFrame:
     # the first event of a file may itself be a bare line that parsed; it can then own others
     owner = F.when(alone & ~F.col("_bare"), F.col("line_number"))
     first_alone = parsed.where(alone).groupBy("source_file").agg(F.min("line_number").alias("_first_event"))
-    owned = carry_forward(parsed, "source_file", "line_number", {"_owner": owner}).join(first_alone, "source_file", "left")
+    owned = carried(parsed, {"_owner": owner}).join(first_alone, "source_file", "left")
     head = F.coalesce("_owner", F.when(F.col("line_number") >= F.col("_first_event"), F.col("_first_event")))
     staged = owned.withColumn("_head", head).withColumn(
         "_joins", F.col("_bare") & F.col("_head").isNotNull() & (F.col("_head") < F.col("line_number"))

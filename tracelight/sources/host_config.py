@@ -14,6 +14,7 @@ from tracelight.functions.text import extract
 from tracelight.functions.times import epoch_iso
 from tracelight.functions.values import contains_any, holds, text
 from tracelight.operators.ordered import BLOCK_LINES, carry_forward
+from tracelight.operators.splits import carry_in_splits, in_splits
 
 _EXTRA = ("host", "user", "home_dir", "mtime")
 
@@ -46,8 +47,10 @@ def parse_shell_history(lines: DataFrame) -> DataFrame:
     )
     after = staged.withColumn("_state", state)
     # the state before a line is the state after the nearest earlier line that sets one
-    shifted = carry_forward(after, "source_file", "line_number", {"_self": F.col("_state")})
-    opened = _previous_state(shifted)
+    if in_splits(lines):
+        opened = carry_in_splits(after, {"_before": F.col("_state")}, before=True)
+    else:
+        opened = _previous_state(carry_forward(after, "source_file", "line_number", {"_self": F.col("_state")}))
     epoch = F.when(F.col("_zsh").isNotNull(), F.col("_zsh")).when(is_command & (F.col("_before") >= 0), F.col("_before"))
     command = F.trim(F.when(F.col("_zsh").isNotNull(), F.regexp_replace(t, r"^:[^;]*;", "")).otherwise(t))
     rows = opened.where(F.col("_mark").isNull()).select(

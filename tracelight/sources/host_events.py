@@ -5,7 +5,6 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelight.functions.text import extract, sha256_hex
@@ -14,6 +13,7 @@ from tracelight.functions.values import let
 from tracelight.schema import CONTAINER_LOG, LINUX_EVENT, WINDOWS_EVENT
 from tracelight.sources.jsonfields import json_map, lower_keys
 from tracelight.sources.lines import Parsed, finish, parse_cases
+from tracelight.sources.ranges import read_terminated_bytes
 
 _AUDIT_PAIR = r"""([A-Za-z0-9_]+)=("[^"]*"|'[^']*'|\S+)"""
 
@@ -237,21 +237,13 @@ def decode_xml(value: Column) -> Column:
 
 
 def read_terminated(spark: SparkSession, path: str, terminator: str, encoding: str = "UTF-8") -> DataFrame:
-    """Records ended by ``terminator`` with the line number at which each starts; splittable."""
-    raw = spark.read.option("lineSep", terminator).option("encoding", encoding).text(path).select(
-        "value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_split"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
-    newlines = F.length("value") - F.length(F.replace("value", F.lit("\n"), F.lit("")))
-    counted = raw.withColumn("_nl", newlines)
-    splits = counted.groupBy("source_file", "_split").agg(F.sum("_nl").alias("_n"))
-    before = W.partitionBy("source_file").orderBy("_split").rowsBetween(W.unboundedPreceding, -1)
-    offsets = splits.select("source_file", "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = W.partitionBy("source_file", "_split").orderBy("_row").rowsBetween(W.unboundedPreceding, -1)
-    local = counted.withColumn("_before", F.coalesce(F.sum("_nl").over(inside), F.lit(0)))
-    return local.join(offsets, ["source_file", "_split"]).select(
-        "source_file", "value", (F.col("_before") + F.col("_offset") + 1).alias("start_line")
-    )
+    """Records ended by ``terminator`` with the line number at which each starts; files are read by byte ranges.
+
+    The encoding is one in which ASCII characters are single bytes.
+    """
+    found = read_terminated_bytes(spark, path, terminator.encode(encoding))
+    text = F.make_valid_utf8(F.col("content").cast("string")) if encoding.upper() == "UTF-8" else F.decode("content", encoding)
+    return found.select(F.col("path").alias("source_file"), text.alias("value"), "start_line")
 
 
 def _windows_columns(df: DataFrame, carry: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from tracelight.functions.frames import settled
+from tracelight.functions.frames import joined_narrow, settled
 from tracelight.functions.text import redact, sha256_hex
 from tracelight.schema import PARSE_ERROR, conform
 
@@ -30,7 +30,8 @@ def read_log_lines(spark: SparkSession, paths: str | Sequence[str], recursive: b
     """Non-blank lines of plain and gzip files, numbered from 1 within each file.
 
     Rows of one input split are contiguous, so a line number is the row's position in its split plus
-    the lines of the file's earlier splits. Only one row per split is shuffled for that.
+    the lines of the file's earlier splits. Only one row per split is shuffled for that, counted once when
+    this is called. ``_split`` stays with the lines, which lie as they were read: see ``operators.splits``.
     """
     reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", str(recursive).lower())
     found = reader.text(list(paths) if not isinstance(paths, str) else paths)
@@ -45,27 +46,27 @@ def read_log_lines(spark: SparkSession, paths: str | Sequence[str], recursive: b
     offsets = splits.select(
         "source_file", "_split", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
-    numbered = raw.join(offsets, ["source_file", "_split"])
-    return decode_lines(
-        numbered.select(
-            "source_file", (F.col("_row") - F.col("_first") + F.col("_offset") + 1).alias("line_number"), "value"
-        )
-    )
+    numbered, stayed = joined_narrow(raw, offsets, ["source_file", "_split"], "inner")
+    if not stayed:
+        numbered = numbered.sortWithinPartitions("source_file", "_split", "_row")
+    line = (F.col("_row") - F.col("_first") + F.col("_offset") + 1).alias("line_number")
+    return decode_lines(numbered.select("source_file", line, "value", "_split"))
 
 
 def decode_lines(raw: DataFrame) -> DataFrame:
     """Adds hash, length and damage flags to ``(source_file, line_number, value)`` and drops blank lines; lines are kept whole."""
+    split = [c for c in ("_split",) if c in raw.columns]
     # rtrim keeps the raw bytes, which a regular expression would decode
-    body = raw.select("source_file", "line_number", F.rtrim(F.col("value"), F.lit("\r\n")).alias("_raw"))
+    body = raw.select("source_file", "line_number", *split, F.rtrim(F.col("value"), F.lit("\r\n")).alias("_raw"))
     present = settled(body).where(F.col("_raw").rlike(r"[^\s\uFEFF]"))
     size = F.octet_length("_raw")
-    staged = present.select("source_file", "line_number", F.col("_raw").alias("_body"), (size > LONG_LINE_BYTES).alias("is_long"))
+    staged = present.select("source_file", "line_number", *split, F.col("_raw").alias("_body"), (size > LONG_LINE_BYTES).alias("is_long"))
     sound = F.is_valid_utf8("_body")
     text = F.when(sound, F.col("_body")).otherwise(F.make_valid_utf8("_body"))
     return staged.select(
         "source_file", "line_number", F.when(text.startswith("\ufeff"), F.expr("substring(_body, 2)")).otherwise(text).alias("text"),
         sha256_hex(F.col("_body")).alias("raw_hash"), F.octet_length("_body").cast("long").alias("byte_len"),
-        (~sound).alias("had_invalid_utf8"), "is_long",
+        (~sound).alias("had_invalid_utf8"), "is_long", *split,
     )
 
 

@@ -9,6 +9,7 @@ from tracelight.functions.text import sha256_hex, uri_path, uri_query
 from tracelight.functions.times import clf_iso, naive_iso
 from tracelight.functions.values import dash_to_null, let
 from tracelight.operators.ordered import carry_forward
+from tracelight.operators.splits import carried, carry_in_splits, in_splits
 from tracelight.schema import HTTP_EVENT
 from tracelight.sources.jsonfields import pick_text, to_f64, to_u16, to_u64, with_fields
 from tracelight.sources.lines import Parsed, finish, parse_cases
@@ -122,8 +123,8 @@ def _iis_header(text: Column) -> Column:
 
 def parse_iis(lines: DataFrame, tz_offset: str = "+00:00", redact_secrets: bool = False) -> Parsed:
     """IIS W3C: each row is read with the last ``#Fields`` header before it in the same file."""
-    carried = carry_forward(lines, "source_file", "line_number", {"_fields": _iis_header(F.col("text"))})
-    return _done(_iis_columns(carried.where(~F.col("text").startswith("#")), tz_offset), redact_secrets)
+    headed = carried(lines, {"_fields": _iis_header(F.col("text"))})
+    return _done(_iis_columns(headed.where(~F.col("text").startswith("#")), tz_offset), redact_secrets)
 
 
 def with_format(lines: DataFrame) -> DataFrame:
@@ -134,36 +135,48 @@ def with_format(lines: DataFrame) -> DataFrame:
     stays at once. Seen per file this is the first such line among the first 49 that precede the
     first readable common line.
     """
-    text = F.col("text")
-    trimmed = F.ltrim(text)
-    guess = F.when(trimmed.startswith("#Fields:"), "iis").when(trimmed.startswith("{"), "json").when(
+    staged = lines.withColumn("_guess", _guess())
+    per_file = staged.groupBy("source_file").agg(*[column.alias(n) for n, column in _votes().items()])
+    return _by_line(staged.join(per_file, "source_file", "left")).drop("_guess", *_votes())
+
+
+def _guess() -> Column:
+    """What a line by itself looks like."""
+    trimmed = F.ltrim(F.col("text"))
+    return F.when(trimmed.startswith("#Fields:"), "iis").when(trimmed.startswith("{"), "json").when(
         ~trimmed.startswith("#"), "common"
     )
-    staged = lines.withColumn("_guess", guess)
-    readable = staged["_guess"].eqNullSafe("common") & text.rlike(_COMMON)
+
+
+def _votes() -> dict[str, Column]:
+    """Per file: the first line of a special format, the first readable common line, the first line."""
+    readable = F.col("_guess").eqNullSafe("common") & F.col("text").rlike(_COMMON)
     first_line = lambda cond: F.min(F.when(cond, F.struct("line_number", "_guess")))
-    per_file = staged.groupBy("source_file").agg(
-        first_line(F.col("_guess").isin("iis", "json")).alias("_special"), first_line(readable).alias("_common"),
-        F.min("line_number").alias("_start"),
-    )
+    return {"_special": first_line(F.col("_guess").isin("iis", "json")), "_common": first_line(readable), "_start": F.min("line_number")}
+
+
+def _by_line(joined: DataFrame) -> DataFrame:
+    """Adds ``_format`` from the votes of a line's file."""
     settled = F.when(
         F.col("_special").isNotNull()
         & (F.col("_common").isNull() | (F.col("_special.line_number") < F.col("_common.line_number")))
         & (F.col("_special.line_number") - F.col("_start") < 49),
         F.col("_special._guess"),
     )
-    chosen = per_file.select("source_file", settled.alias("_settled"), F.col("_special.line_number").alias("_since"))
     name = F.lower(F.element_at(F.split("source_file", r"[/\\]"), -1))
-    joined = staged.join(chosen, "source_file", "left")
     by_line = F.when(name.startswith("u_ex"), "iis").when(
-        F.col("_settled").isNotNull() & (F.col("line_number") >= F.col("_since")), F.col("_settled")
+        settled.isNotNull() & (F.col("line_number") >= F.col("_special.line_number")), settled
     ).otherwise("common")
-    return joined.withColumn("_format", by_line).drop("_guess", "_settled", "_since")
+    return joined.withColumn("_format", by_line)
 
 
 def parse_web(lines: DataFrame, tz_offset: str = "+00:00", redact_secrets: bool = False) -> Parsed:
     """Mixed access-log files, each in its detected format."""
-    tagged = carry_forward(with_format(lines), "source_file", "line_number", {"_fields": _iis_header(F.col("text"))})
+    header = {"_fields": _iis_header(F.col("text"))}
+    if in_splits(lines):  # header and format of a file come with the rows of its splits, no line moves
+        tagged = _by_line(carry_in_splits(lines.withColumn("_guess", _guess()), header, per_file=_votes())).drop("_guess", *_votes())
+    else:
+        tagged = carry_forward(with_format(lines), "source_file", "line_number", header)
     data = tagged.where(~F.col("text").startswith("#"))
     kind = F.col("_format")
     cases = [
