@@ -25,7 +25,7 @@ def jaccard(a, b, k=5):
 
 def test_similar_documents(spark):
     """Edited copies at and above the bound are found, and different texts stay apart."""
-    from tracelight.llm.simhash import similar_documents
+    from tracelight.llm.near_copies import similar_documents
 
     random = np.random.default_rng(12)
     vocabulary = [f"w{i}" for i in range(4000)]
@@ -66,7 +66,7 @@ def changed(words, similarity, random, k=5):
 
 def test_similarity_is_exact(spark):
     """Planted pairs on both sides of the bound: links are those of at least 0.8 exactly."""
-    from tracelight.llm.simhash import similar_documents
+    from tracelight.llm.near_copies import similar_documents
 
     random = np.random.default_rng(21)
     texts = []
@@ -148,3 +148,57 @@ def test_url_sql(spark):
     for folder in (SF, "/root/testdata/sf0.001"):
         ok, detail, _ = compare(spark, duck(folder), "op10_url_filter", QUERIES["op10_url_filter"], SQL["op10_url_filter"], folder)
         assert ok, detail
+
+
+def test_hot_buckets_are_split(spark):
+    """A third of all rows are near copies of one text; with buckets of 16 rows nothing else comes out."""
+    from tracelight.llm.near_copies import similar_documents
+
+    random = np.random.default_rng(5)
+    base = [f"w{x}" for x in random.integers(0, 5000, 200)]
+    texts = [" ".join(changed(base, 0.94, random)) for _ in range(120)] + [" ".join(f"w{x}" for x in random.integers(0, 5000, 150)) for _ in range(240)]
+    texts += texts[:20] + ["a", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain, split = ({r.doc_id: r.component_id for r in similar_documents(df, hot_rows=h).collect()} for h in (1 << 14, 16))
+    assert plain == split and len({plain[i] for i in range(120)}) == 1 and all(plain[i] == i for i in range(120, 360))
+
+
+CLASHES = ["score", "predicted", "held_out", "kept", "base_failed", "n_words", "n_removed", "kept_text", "kept_sha256", "removed_spans", "char_distance", "word_distance",
+           "_id", "_row", "_hash", "_node", "_file", "_fp", "_start", "_n", "_key", "_block", "_text", "_c0", "row", "id", "hash", "t", "node", "code", "bands", "file", "start", "n",
+           "c0", "c1", "x2_", "bucket", "first", "component_id", "low", "label", "with.dot", "with space"]
+
+
+@pytest.mark.parametrize("stage", ["drop_toxic", "drop_poor", "drop_near_copies", "drop_repeats"])
+def test_stages_keep_their_input(spark, stage):
+    """Columns of any name, null and empty texts, null and equal ids, one text of a megabyte, an empty table."""
+    from pyspark.sql import functions as F
+
+    from tracelight.llm import stages
+
+    apply = getattr(stages, stage)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 300")
+    odd = spark.createDataFrame([(None, None, "en", "s", 0), (None, "", None, "s", 0), (7, "", "xx", None, 0), (7, None, "de", "s", None), (9_000, "long words here and the text of it " * 30_000, "en", "s", 1)],
+                                "doc_id long, text string, lang string, source string, n_chars long").select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])
+    whole = docs.unionByName(odd)
+    plain = apply(spark, whole, SF)
+    wide = whole.select("*", *[(F.coalesce("doc_id", F.lit(-1)) * 100 + i).alias(c) for i, c in enumerate(CLASHES)])
+    out = apply(spark, wide, SF)
+    assert out.columns == wide.columns and out.schema["score"].dataType == wide.schema["score"].dataType
+    rows = out.collect()
+    assert sorted(map(str, plain.collect())) == sorted(str(plain_row(r, docs.columns)) for r in rows)
+    for r in rows:
+        assert [r[5 + i] for i in range(len(CLASHES))] == [(-1 if r.doc_id is None else r.doc_id) * 100 + i for i in range(len(CLASHES))]
+    if stage == "drop_repeats":
+        assert len(rows) == 305 and sum(r.text is None for r in rows) == 2
+        assert next(r.n_chars for r in rows if r.doc_id == 9_000) < 2000  # all but the first words of it repeat
+    if stage == "drop_poor":
+        assert all(r.text for r in rows)
+    if stage == "drop_near_copies":
+        assert sum(not r.text for r in rows) == 1 and any(r.doc_id == 9_000 for r in rows)
+    assert apply(spark, wide.limit(0), SF).count() == 0
+
+
+def plain_row(row, columns):
+    from pyspark.sql import Row
+
+    return Row(**{c: row[c] for c in columns})

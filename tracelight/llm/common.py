@@ -29,6 +29,35 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables and byte files of one job in a folder of its own, which goes when the job ends; what is to stay is ``written``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.tables = spark, shared_folder(spark), 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """``df`` as a Parquet table, like ``written``."""
+        path = f"{self.base}/t{self.tables}"
+        self.tables += 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def folder(self) -> str:
+        """Folder for byte files of tasks."""
+        return f"{self.base}/files"
+
+    def clear(self) -> None:
+        fs, path = file_system(self.base)
+        if fs.get_file_info(path).type.name == "Directory":
+            fs.delete_dir(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.clear()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

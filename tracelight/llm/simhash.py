@@ -8,13 +8,11 @@ its upper node holds already. A query adds up its differences from the root down
 they exceed the bound, and also a group whose members are all known to hang together with it. Links found in a
 partition are kept as one link per member to the smallest member, and components are joined over all partitions.
 
-``similar_documents`` serves a similarity bound instead of a bit bound: 256-bit fingerprints of five-word shingle sets, of
-which tables of sampled bits take the place of the four blocks, name candidates, and the sets themselves decide (see there).
+``near_copies`` serves a similarity bound instead of a bit bound with the same index.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,9 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import byte_words, carried, file_system, mixed, shared_folder, written
+from tracelight.llm.common import byte_words, carried, written
 from tracelight.llm.components import connected_components
-from tracelight.llm.token_files import TaskFile
 
 MAX_BITS = 3
 BLOCKS, BLOCK_BITS = 4, 16
@@ -230,199 +227,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     named = written(rooted.join(lows, "root").select("_fp", "component_id"))
     return prints.join(named, "_fp").select("doc_id", *[F.col(f"_c{i}").alias(c) for i, c in enumerate(extra)],
                                             F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-WIDE = 4  # 64-bit words of a wide fingerprint
-
-
-def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
-    """Ascending hashes of the distinct word shingles of a text (A-Z lower-cased); a shorter text is one shingle, none without words."""
-    words = byte_words(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words).lower()
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    n = max(1, len(words) - shingle + 1)
-    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
-    stops = ends[min(shingle, len(words)) - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops)], dtype=np.uint64))
-
-
-def wide_fingerprint(hashes: np.ndarray) -> bytes:
-    """256-bit SimHash of a shingle set; zero of the empty one."""
-    ones = np.zeros(64 * WIDE, np.int64)
-    for a in range(0, len(hashes), 16384):
-        many = np.stack([mixed(hashes[a : a + 16384] + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) for k in range(WIDE)], axis=1).astype("<u8")
-        ones += np.unpackbits(many.view(np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two ascending sets; two empty ones are equal."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0.0 if len(b) else 1.0
-    at = np.searchsorted(b, a)
-    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-    return both / (len(a) + len(b) - both)
-
-
-class SetReader:
-    """Shingle sets from task files; the sets read last are kept up to ``most`` bytes."""
-
-    def __init__(self, folder: str, most: int = 64_000_000):
-        self.fs, _ = file_system(folder)
-        self.most, self.size, self.kept, self.open = most, 0, {}, {}
-
-    def read(self, path: str, start: int, length: int) -> np.ndarray:
-        key = (path, start)
-        if key in self.kept:
-            found = self.kept.pop(key)
-        else:
-            if path not in self.open:
-                if len(self.open) >= 64:
-                    self.open.pop(next(iter(self.open))).close()
-                self.open[path] = self.fs.open_input_file(path)
-            found = np.frombuffer(self.open[path].read_at(8 * length, start), "<u8")
-            self.size += found.nbytes
-            while self.kept and self.size > self.most:
-                self.size -= self.kept.pop(next(iter(self.kept))).nbytes
-        self.kept[key] = found
-        return found
-
-
-def bit_rate(similarity: float) -> float:
-    """Share of differing SimHash bits of two equally large sets of this Jaccard similarity."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def _grouped(docs: DataFrame, id_col: str, text: str, shingle: int, similarity: float, found: float) -> tuple[DataFrame, DataFrame]:
-    """The rows with ``_row``, ``_id`` and ``_node``, and ``_node, component_id, first`` of every node: its group's smallest id and the row to keep.
-
-    A node is a distinct set of shingles, not an id, so equal and null ids join nothing. Fingerprints only name
-    candidates: bits of such fingerprints differ at a known rate, and of the pairs within four standard deviations of it
-    that meet in a table, those stay whose sets, read from byte files, have at least ``similarity``. Each table samples 64
-    of the 256 bits; the first ``b`` of them, about the binary logarithm of the number of sets, name the bucket, and the
-    Gray-order index searches inside it. There are as many tables as a pair of this similarity needs to meet in one with
-    probability ``found``; closer pairs meet almost surely. So tables grow with the number of documents to the power
-    0.24, and buckets stay small.
-    """
-    spark = docs.sparkSession
-    rate, bits = bit_rate(similarity), 64 * WIDE
-    most = round(bits * rate + 4 * math.sqrt(bits * rate * (1 - rate)))
-    folder = shared_folder(spark)
-    slim = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_hash"), F.monotonically_increasing_id().alias("_row"))
-    at = slim.columns.index(text)
-    schema = slim.selectExpr("*", "0L as _node", "cast('' as binary) as _fp", "'' as _file", "0L as _start", "0L as _n").schema
-
-    def prints_of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = TaskFile(folder)
-        for batch in parts:
-            for a in range(0, batch.num_rows, 1000):
-                some = batch.slice(a, 1000)
-                nodes, prints, starts, sizes = [], [], [], []
-                for t in some.column(at):
-                    hashes = shingle_set(t.as_py(), shingle)
-                    data = hashes.astype("<u8").tobytes()
-                    starts.append(out.size)
-                    out.write(data)
-                    nodes.append(xxhash.xxh64_intdigest(data))
-                    prints.append(wide_fingerprint(hashes))
-                    sizes.append(len(hashes))
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.binary()), pa.array([out.path] * len(nodes), pa.string()),
-                                                  pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], names=schema.names)
-        out.close()
-
-    rows = written(slim.mapInArrow(prints_of, schema))
-    low = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.coalesce("_hash", F.lit(0).cast("long")).alias("hash"), F.col("_row").alias("row"))
-    distinct = written(rows.groupBy("_node").agg(F.min(low).alias("low"), F.min(F.struct("_fp", "_file", "_start", "_n")).alias("s")).select("_node", "low", "s.*"))
-    # one name per task
-    files = [r["_file"] for r in distinct.select("_file").distinct().orderBy("_file").collect()]
-    number = {name: i for i, name in enumerate(files)}
-    n = max(2, distinct.count())
-    lead = min(40, max(8, math.ceil(math.log2(n))))
-    tables = math.ceil(math.log(1 - found) / math.log(1 - (1 - rate) ** lead))
-    near = round(64 * rate + 4 * math.sqrt(64 * rate * (1 - rate)))  # of the sampled bits: a bound that hardly any such pair exceeds
-    random = np.random.default_rng(11)
-    samples = [random.permutation(bits)[:64] for _ in range(tables)]
-
-    def entries_of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            for at in range(0, batch.num_rows, 4096):
-                some = batch.slice(at, 4096)
-                seen = np.unpackbits(np.frombuffer(b"".join(some.column(0).to_pylist()), np.uint8).reshape(-1, bits // 8), axis=1)
-                file = pa.array([number[f] for f in some.column(2).to_pylist()], pa.int32())
-                for k, sample in enumerate(samples):
-                    code = np.ascontiguousarray(np.packbits(seen[:, sample], axis=1)).view(">u8").ravel().astype(np.uint64)
-                    bucket = (code >> np.uint64(64 - lead)).astype(np.int64) | (np.int64(k) << 40)
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(code.view(np.int64)), some.column(1), file, some.column(3), some.column(4), some.column(0)],
-                                                     names=["bucket", "code", "node", "file", "start", "n", "fp"])
-
-    rank = gray_rank(F.col("code")).bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
-    entries = distinct.select("_fp", "_node", "_file", "_start", "_n").mapInArrow(entries_of, "bucket long, code long, node long, file int, start long, n long, fp binary")
-    ordered = entries.repartition("bucket").sortWithinPartitions("bucket", rank)
-
-    def links(reader: SetReader, keys: np.ndarray, codes: np.ndarray, nodes: np.ndarray, file: np.ndarray, start: np.ndarray, size: np.ndarray, prints_: np.ndarray) -> pa.RecordBatch:
-        edges = np.flatnonzero(np.diff(keys)) + 1
-        sizes = np.diff(np.concatenate([[0], edges, [len(keys)]]))
-        first = np.repeat(np.concatenate([[0], edges]), sizes)
-        up = list(range(len(keys)))
-
-        def top(i: int) -> int:
-            while up[i] != i:
-                up[i] = i = up[up[i]]
-            return i
-
-        def check(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            """Pairs whose sets are similar enough; those that hang together already are let pass unread."""
-            ok = (np.bitwise_count(prints_[a] ^ prints_[b]).sum(axis=1) <= most) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-6)
-            for p in np.flatnonzero(ok).tolist():
-                i, j = int(a[p]), int(b[p])
-                x, y = top(i), top(j)
-                if x != y:
-                    ok[p] = jaccard(*(reader.read(files[file[e]], int(start[e]), int(size[e])) for e in (i, j))) >= similarity
-                    if ok[p]:
-                        up[max(x, y)] = min(x, y)
-            return ok
-
-        label = GrayIndex(codes.view(np.uint64), first, first + np.repeat(sizes, sizes)).connect(near, check=check)
-        member = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[member]), pa.array(nodes[label[member]])], names=["u", "v"])
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = SetReader(folder)
-        held: list[tuple[np.ndarray, ...]] = []
-        for batch in parts:
-            new = (*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)), np.frombuffer(b"".join(batch.column(6).to_pylist()), "<u8").reshape(-1, WIDE))
-            if held and sum(len(h[0]) for h in held) + len(new[0]) > 30_000:
-                whole = [np.concatenate(c) for c in zip(*held)]
-                cut = len(whole[0]) if whole[0][-1] != new[0][0] else int(np.searchsorted(whole[0], whole[0][-1]))
-                if cut:
-                    yield links(reader, *(c[:cut] for c in whole))
-                held = [tuple(c[cut:] for c in whole)] if cut < len(whole[0]) else []
-            held.append(new)
-        if held:
-            yield links(reader, *(np.concatenate(c) for c in zip(*held)))
-
-    roots = written(connected_components(ordered.mapInArrow(run, "u long, v long")))
-    rooted = written(distinct.join(roots, F.col("_node") == F.col("node"), "left").select("_node", "low", F.coalesce("root", "_node").alias("root")))
-    lows = written(rooted.groupBy("root").agg(F.min("low").alias("low")))
-    return rows, written(rooted.select("_node", "root").join(lows, "root").select("_node", F.col("low.id").alias("component_id"), F.col("low.row").alias("first")))
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, found: float = 0.99) -> DataFrame:
-    """``doc_id, component_id`` of every document with an id: documents of at least this Jaccard similarity hang together.
-
-    ``component_id`` is the smallest id of the group. Texts without words are one group. Links are exact, see ``_grouped``
-    for how pairs are met.
-    """
-    rows, groups = _grouped(docs.select(id_col, text), id_col, text, shingle, similarity, found)
-    return rows.where(F.col("_id").isNotNull()).select("_id", "_node").join(groups, "_node").select(F.col("_id").alias("doc_id"), "component_id")
-
-
-def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, found: float = 0.99) -> DataFrame:
-    """One row of ``docs`` for each group of ``similar_documents``: the smallest id, null ids last; among equal ids the smallest hash of the text, then any one row."""
-    rows, groups = _grouped(docs, id_col, text, shingle, similarity, found)
-    return rows.join(groups.select(F.col("first").alias("_row")).distinct(), "_row", "left_semi").select(*docs.columns)
