@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelight.llm import stages
-from tracelight.llm.common import read_table, written
+from tracelight.llm.common import Scratch, read_table
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", stages.drop_toxic),
@@ -29,8 +29,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the last stage for ``documents`` of ``sf_dir``."""
-    docs = read_table(spark, sf_dir, "documents")
+    """Rows of the last stage for ``documents`` of ``sf_dir``; a stage's table goes when the next one is written."""
+    docs, last = read_table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        scratch = Scratch(spark)
+        docs = scratch.table(stage(spark, docs, sf_dir))
+        if last is not None:
+            last.clear()
+        last = scratch
     return STAGES[-1][1](spark, docs, sf_dir)
