@@ -49,25 +49,48 @@ def test_stream_rules_and_tumbling_buckets(spark, tmp_path):
     bucket = int(BASE.replace(tzinfo=datetime.timezone.utc).timestamp()) // 300
     assert {r.bucket - bucket: r.match_count for r in split.totals(spark).collect()} == {0: 4, 1: 1, 16: 2}
     assert split.late(spark).count() == 1
+    newest = [r[0] for i in range(3) for r in spark.read.parquet(str(tmp_path / "out" / "newest" / f"batch_id={i}")).collect()]
+    assert newest == sorted(newest)  # each batch knows the newest of all before it
+    for upto in (1, 2):
+        split.compact(spark, upto)
+        assert split.late(spark).count() == 1
     agg = jobs.stream_tumbling(hits, ["rule_id"])
     _run(agg.writeStream.format("memory").queryName("buckets").outputMode("complete").option("checkpointLocation", str(tmp_path / "c3")).start())
     assert sum(r.match_count for r in spark.table("buckets").collect()) == 8
 
 
-def test_stream_brute_force_state(spark, tmp_path):
-    source = tmp_path / "in"
-    schema = "source string, event_time timestamp, failed boolean"
-    batch = lambda rows: spark.createDataFrame([(s, BASE + datetime.timedelta(seconds=t), f) for s, t, f in rows], schema).coalesce(1)
-    batch([("a", i, True) for i in range(3)] + [("b", i * 400, True) for i in range(6)]).write.mode("append").parquet(str(source))
-    stream = jobs.stream_brute_force(spark.readStream.schema(schema).parquet(str(source)), delay="2 hours")
+def test_stream_brute_force_in_any_order(spark, tmp_path):
+    """Attempts arrive shuffled over files; alerts are those of the batch operator, late attempts are given out."""
+    import random
+
+    from tracelight.functions.times import millis
+    from tracelight.operators.brute_force import brute_force
+
+    random.seed(11)
+    source, schema = tmp_path / "in", "source string, event_time timestamp, failed boolean"
+    frame = lambda rows: spark.createDataFrame([(s, BASE + datetime.timedelta(milliseconds=t), f) for s, t, f in rows], schema)
+    rows = [(f"s{random.randint(0, 9)}", random.randint(0, 1_500_000), random.random() < 0.8) for _ in range(400)]
+    rows += [("one", 1000, True)] * 9 + [("one", 1000, False), ("none", 5, False)]  # many at one instant
+    random.shuffle(rows)
+    jobs.use_state_store(spark)
+    frame(rows).repartition(7).write.parquet(str(source))
+    stream = jobs.stream_brute_force(spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(str(source)), delay="30 minutes")
     start = lambda: stream.writeStream.format("memory").queryName("alerts").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
     query = start()
     query.processAllAvailable()
-    batch([("a", 10, True), ("a", 11, True), ("a", 300, False), ("a", 301, False)]).write.mode("append").parquet(str(source))
+    frame([("end", 9_000_000, True)]).coalesce(1).write.mode("append").parquet(str(source))
+    query.processAllAvailable()
+    frame([("s1", 50, True), ("end", 9_000_001, False)]).coalesce(1).write.mode("append").parquet(str(source))  # the first is late by now
     query.processAllAvailable()
     query.stop()
-    got = sorted((r.source, r.kind, r.at_ms - r.first_failure_ms) for r in spark.table("alerts").collect())
-    assert got == [("a", "followed_by_success", 300_000), ("a", "triggered", 11_000)]
+    got = {}
+    for r in spark.table("alerts").collect():
+        got.setdefault(r.kind, {}).setdefault(r.source, (r.first_failure_ms, r.at_ms))
+    base = int(BASE.replace(tzinfo=datetime.timezone.utc).timestamp() * 1000)
+    batch = brute_force(frame(rows).select("source", millis(F.col("event_time")).alias("at"), "failed")).collect()
+    assert got["triggered"] == {r.source: (r.first_failure_at, r.trigger_at) for r in batch} and len(got["triggered"]) > 5
+    assert set(got["followed_by_success"]) == {r.source for r in batch if r.later_success}
+    assert got["late"] == {"s1": (-1, base + 50)}
 
 
 def _indicators(spark):

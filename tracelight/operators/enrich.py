@@ -1,8 +1,9 @@
 """Client inference behind proxies, indicator matching and network lookup.
 
-All matching is by equality: an address is looked up under the hex prefixes the networks use, a host
-under its suffixes, a path under its prefixes and a user agent under short substrings. Distinct values
-are matched first and then joined back, so repeated traffic costs one match.
+Matching is by equality: an address is looked up under the hex prefixes the networks use, a host under
+its suffixes, a path under its prefixes and a user agent under short substrings. Distinct values are
+matched first and then joined back, so repeated traffic costs one match. Where only the first network
+counts, networks are made disjoint first, and an address is one row of an ordered lookup.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ from pyspark.sql import functions as F
 
 from tracelight.functions import assess
 from tracelight.functions.frames import settled
-from tracelight.functions.net import Network, cidr_range, in_networks, ip_key, is_v4_key, key_text
+from tracelight.functions.net import V4_PREFIX, Network, cidr_range, in_networks, ip_key, is_v4_key, key_text
 from tracelight.functions.text import domain_host, sha256_hex
 from tracelight.functions.values import let, text
 from tracelight.operators.findings import base_finding
+from tracelight.operators.splits import carry_in_splits
 from tracelight.operators.ordered import numbered_ids
 from tracelight.operators.records import effective_ip
 from tracelight.schema import FINDING, conform
+from tracelight.session import cut_lineage
 
 _UA_GRAM = 4
 
@@ -90,13 +93,47 @@ def _networks_of(keys: DataFrame, ranged: DataFrame) -> DataFrame:
     return probes.join(ranged, ["_digits", "_key"]).where(inside).drop("_digits", "_key", "low", "high", "v4")
 
 
-def first_network(addresses: DataFrame, column: str, networks: DataFrame, order: str = "file_order") -> DataFrame:
-    """Distinct addresses with the columns of the first network, in file order, that contains them."""
-    keys = settled(addresses.select(column).distinct().withColumn("_ip_key", ip_key(F.col(column)))).where(F.col("_ip_key").isNotNull())
+def key_after(key: Column) -> Column:
+    """The next address key; NULL behind the last one."""
+    body = F.rtrim(key, F.lit("f"))
+    last = F.conv(F.right(body, F.lit(1)), 16, 10).cast("int") + 1
+    raised = F.concat(F.left(body, F.length(body) - 1), F.lower(F.hex(last.cast("long"))))
+    return F.when(body != "", F.rpad(raised, 32, "0"))
+
+
+def flattened(networks: DataFrame, order: str = "file_order") -> DataFrame:
+    """Overlapping networks as disjoint stretches: ``low, owner``, a stretch reaching up to the next ``low``.
+
+    A sweep over the borders of all networks: what holds at a border holds up to the next one. ``owner`` has the network
+    and its columns, of those that cover a stretch the first in ``order``; NULL where none does. Only borders are looked up
+    under the prefixes, not addresses.
+    """
     ranged = with_ranges(networks)
+    # networks of the wider family do not hold mapped IPv4 addresses, so that block has borders of its own
+    rest = 32 - len(V4_PREFIX)
+    fixed = F.array(F.lit(V4_PREFIX + "0" * rest), key_after(F.lit(V4_PREFIX + "f" * rest)))
+    borders = ranged.select(F.explode(F.array_compact(F.concat(F.array(F.col("low"), key_after(F.col("high"))), fixed))).alias("_ip_key")).distinct()
     payload = [c for c in networks.columns if c not in ("network", order)]
-    met = _networks_of(keys.select("_ip_key").distinct(), ranged)
-    best = met.groupBy("_ip_key").agg(F.min_by(F.struct("network", *payload), F.col(order)).alias("_n")).select("_ip_key", "_n.*")
+    met = _networks_of(borders, ranged).groupBy("_ip_key").agg(F.min_by(F.struct("network", *payload), F.col(order)).alias("owner"))
+    return borders.join(met, "_ip_key", "left").withColumnRenamed("_ip_key", "low")
+
+
+def first_network(addresses: DataFrame, column: str, networks: DataFrame, order: str = "file_order") -> DataFrame:
+    """Distinct addresses with the columns of the first network, in file order, that contains them.
+
+    Addresses and stretches are sorted together, and each address takes what the last border before it carries: one row
+    for an address, however many networks there are.
+    """
+    keys = settled(addresses.select(column).distinct().withColumn("_ip_key", ip_key(F.col(column)))).where(F.col("_ip_key").isNotNull())
+    stretches = flattened(networks, order)
+    kind = stretches.schema["owner"].dataType
+    marks = stretches.select(F.col("low").alias("_ip_key"), F.lit(0).alias("_side"), F.struct("owner").alias("_mark"))
+    asked = keys.select("_ip_key").distinct().select("_ip_key", F.lit(1).alias("_side"), F.lit(None).cast(marks.schema["_mark"].dataType).alias("_mark"))
+    order_by = ["_ip_key", "_side"]
+    laid = cut_lineage(marks.unionByName(asked).repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("line_number", F.monotonically_increasing_id()))
+    split = F.shiftright("line_number", 33)
+    found = carry_in_splits(laid.withColumn("source_file", F.lit("")).withColumn("_split", split).withColumnRenamed("_mark", "_own"), {"_mark": F.col("_own")})
+    best = found.where("_side = 1").select("_ip_key", F.col("_mark.owner").cast(kind).alias("_n")).where(F.col("_n").isNotNull()).select("_ip_key", "_n.*")
     return keys.join(best, "_ip_key").drop("_ip_key")
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from tracelight.plans.registry import REGISTRY, Query
 
-_MODULES = ["detection_queries", "correlation_queries", "ingest_queries", "enrichment_queries", "file_queries"]
+_MODULES = ["detection_queries", "correlation_queries", "ingest_queries", "enrichment_queries", "file_queries", "host_queries"]
 
 
 def all_queries() -> dict[str, Query]:

@@ -21,7 +21,7 @@ from tracelight.operators.filters import TimeWindow, time_filter
 from tracelight.operators.findings import detect
 from tracelight.operators.ordered import numbered_ids
 from tracelight.operators.records import RecordSet, app_records, db_records, http_records, waf_records
-from tracelight.operators.relations import component_edges, correlate, file_context, prepared, relation_pairs
+from tracelight.operators.relations import component_edges, correlate, evidence_chains, file_context, prepared, related_ids, relation_pairs, with_nearest_ids
 from tracelight.operators.timeline import timeline
 from tracelight.rules.model import Rule, all_rules, load_rules
 from tracelight.schema import FINDING, conform
@@ -71,12 +71,17 @@ class Analysis:
     urls: DataFrame
     high_risk: DataFrame
     timeline: DataFrame
+    evidence_chains: DataFrame
     tz_offset: str = "+00:00"
 
     def relations(self) -> DataFrame:
         """Related pairs, listed on request."""
         return relation_pairs(self.findings, self.tz_offset)
 
+    def related(self) -> DataFrame:
+        """``finding_id, related_id`` of all related findings, both ways."""
+        return related_ids(self.relations())
+
 
 def record_sets(evidence: Evidence, settings: Settings) -> list[RecordSet]:
     """Rule records of every source. Logs are cut to the window before anything is counted over time."""
@@ -134,11 +139,12 @@ def analyse(evidence: Evidence, settings: Settings | None = None) -> Analysis:
     notes = None
     if evidence.suspicious_files is not None and evidence.recent_files is not None:
         notes = file_context(findings, evidence.suspicious_files, evidence.recent_files, settings.tz_offset)
-    correlated = cut_lineage(correlate(findings, notes, settings.tz_offset))
+    correlated = cut_lineage(with_nearest_ids(correlate(findings, notes, settings.tz_offset), settings.tz_offset))
     components = connected_components(component_edges(prepared(correlated, settings.tz_offset)))
     return Analysis(
         findings=correlated, hits=hits, chains=rollups.attack_chains(correlated, components, settings.tz_offset),
         chain_members=rollups.chain_members(correlated, components, settings.tz_offset),
         sources=rollups.source_stats(correlated, settings.tz_offset), types=rollups.type_stats(correlated), urls=rollups.url_stats(correlated),
-        high_risk=rollups.high_risk_events(correlated), timeline=timeline(conform(correlated, FINDING), settings.tz_offset), tz_offset=settings.tz_offset,
+        high_risk=rollups.high_risk_events(correlated), timeline=timeline(conform(correlated, FINDING), settings.tz_offset),
+        evidence_chains=evidence_chains(correlated, settings.tz_offset, files=notes), tz_offset=settings.tz_offset,
     )

@@ -72,7 +72,7 @@ pair AS (
   FROM fnd h JOIN fnd o ON h.sec BETWEEN o.sec - 900 AND o.sec + 900
   WHERE h.kind = 'access_log' AND (o.kind <> 'access_log' OR h.id < o.id)),
 rel AS (
-  SELECT src, dst, dst_type, CASE
+  SELECT src, dst, dst_type, d, CASE
     WHEN dst_type = 'waf_log' THEN CASE WHEN d <= 300 AND (same_ip OR same_path) THEN 'waf' END
     WHEN dst_type = 'app_log' THEN CASE WHEN d <= 300 AND (same_path OR hc = 'sqli') THEN 'app' END
     WHEN same_ip AND d <= 120 THEN 'origin'
@@ -81,7 +81,7 @@ rel AS (
       WHEN hc = 'sqli' AND oc LIKE 'db_%' AND d <= 300 THEN 'db' END
   END AS relation FROM pair),
 relation AS (
-  SELECT src, dst, dst_type, relation,
+  SELECT src, dst, dst_type, relation, d,
     CASE relation WHEN 'waf' THEN 10 WHEN 'app' THEN 15 WHEN 'origin' THEN 5 WHEN 'host' THEN 20 ELSE 15 END AS boost_src,
     CASE relation WHEN 'waf' THEN 5 WHEN 'app' THEN 10 WHEN 'origin' THEN 5 WHEN 'host' THEN 5 ELSE 10 END AS boost_dst
   FROM rel WHERE relation IS NOT NULL)"""
@@ -124,6 +124,55 @@ def correlated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("finding_id", "related_count", "boost", "score", "evidence_chain_level", sources.alias("sources"))
 
 
+@query("nearest_related", "AGG-13 JN-01..07", f"""
+WITH {RELATIONS_SQL},
+side AS (SELECT src AS id, dst AS other, dst_type AS kind, d FROM relation UNION ALL SELECT dst, src, 'access_log', d FROM relation),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS n FROM side)
+SELECT id AS finding_id, n, other AS partner, kind, d AS apart FROM ranked WHERE n <= 5""")
+def nearest_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = R.nearest_partners(R.prepared(derived_findings(spark, sf_dir)), 5)
+    return near.select(F.col("id").alias("finding_id"), "n", "partner", "kind", "apart")
+
+
+@query("evidence_chain_text", "AGG-13", f"""
+WITH {RELATIONS_SQL},
+side AS (SELECT src AS id, dst AS other, d FROM relation UNION ALL SELECT dst, src, d FROM relation),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS n FROM side),
+said AS (SELECT r.id, string_agg(' | related ' || other || ': ' || kind || ' ' || category || ' score ' || score, '' ORDER BY n) AS related, string_agg(other, ';' ORDER BY n) AS ids
+  FROM ranked r JOIN fnd o ON o.id = r.other WHERE n <= 5 GROUP BY 1)
+SELECT f.id AS finding_id, coalesce(ids, '') AS nearest_ids,
+  'primary: derived evidence | source: ' || file || ' line ' || event_id || ' hash ' || sha256(CAST(event_id AS VARCHAR)) || coalesce(related, '') AS evidence_chain
+FROM fnd f LEFT JOIN said USING (id)""")
+def evidence_chain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain's text without its notes and closing words."""
+    chains = R.evidence_chains(derived_findings(spark, sf_dir))
+    told = F.regexp_replace("evidence_chain", r" \| (F-\d+: |a lead for review).*$", "")
+    return chains.select("finding_id", F.array_join("nearest_ids", ";").alias("nearest_ids"), told.alias("evidence_chain"))
+
+
+@query("related_id_table", "GR-02", f"""
+WITH {RELATIONS_SQL},
+side AS (SELECT src AS id, dst AS other FROM relation UNION ALL SELECT dst, src FROM relation)
+SELECT id AS finding_id, count(*) AS related, min(other) AS first_related, max(other) AS last_related, bit_xor(CAST(substr(other, 3) AS BIGINT)) AS mixed FROM side GROUP BY 1""")
+def related_id_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = R.related_ids(R.relation_pairs(derived_findings(spark, sf_dir), hot=50))
+    return table.groupBy("finding_id").agg(F.count(F.lit(1)).alias("related"), F.min("related_id").alias("first_related"), F.max("related_id").alias("last_related"),
+                                           F.bit_xor(F.substring("related_id", 3, 20).cast("bigint")).alias("mixed"))
+
+
+MACHINE_SQL = RELATIONS_SQL.replace("WHERE h.kind = 'access_log' AND", "WHERE h.event_id % 2 = o.event_id % 2 AND h.kind = 'access_log' AND")
+
+
+@query("machine_relations", "JN-01 JN-02 JN-03 JN-04 JN-05 JN-16", f"""
+WITH {MACHINE_SQL},
+side AS (SELECT src AS id, boost_src AS boost FROM relation UNION ALL SELECT dst, boost_dst FROM relation)
+SELECT f.id AS finding_id, count(s.id) AS related_count, CAST(least(30, coalesce(sum(boost), 0)) AS INTEGER) AS boost FROM fnd f LEFT JOIN side s USING (id) GROUP BY 1""")
+def machine_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of two machines, which never relate to each other."""
+    findings = derived_findings(spark, sf_dir).withColumn("machine", F.concat(F.lit("m"), (F.col("line_number") % 2).cast("string")))
+    return R.correlate(findings).select("finding_id", "related_count", "boost")
+
+
 def _http_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived_findings(spark, sf_dir).withColumn("source_type", F.lit("access_log")).withColumn("evidence_chain_level", F.lit("L2"))
 

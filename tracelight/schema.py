@@ -78,7 +78,7 @@ FINDING = _schema(
     "evidence_quality string, evidence_quality_basis string, score_breakdown breakdown, category string, "
     "rule_id string, rule_name string, source_type string, source_file string, line_number bigint, "
     "remote_ip string, method string, uri_path string, status int, evidence_summary string, raw_hash string, "
-    "related_ids strings, evidence_chain_level string, evidence_chain_basis string, recommendation string"
+    "related_ids strings, evidence_chain_level string, evidence_chain_basis string, recommendation string, machine string"
 )
 # Order in which finding sources are concatenated, i.e. the run order of the detectors.
 DETECTION_SOURCES = [

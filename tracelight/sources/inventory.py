@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tracelight.functions.net import cidr_range, ip_key
-from tracelight.functions.values import non_blank, text
+from tracelight.functions.net import cidr_range, ip_key, socket_class
+from tracelight.functions.values import contains_any, non_blank, text
 from tracelight.operators.ordered import global_index
 from tracelight.operators.records import RecordSet, inventory_records
 from tracelight.rules.compile import field_name
+from tracelight.schema import FINDING
+from tracelight.sinks.committed import read_jsonl as read_committed
 from tracelight.sources.lines import read_log_lines
 
 # Inventory table, the rule source it feeds, its source type and an extra field.
@@ -57,6 +59,25 @@ def _first(df: DataFrame, *names: str) -> Column:
     return F.coalesce(*present) if present else F.lit(None).cast("string")
 
 
+# Words in a name or command line that mark a web server or its runtime.
+WEB_PROCESS_WORDS = ["nginx", "httpd", "apache", "apache2", "php-fpm", "java", "tomcat", "dotnet", "node", "gunicorn", "uwsgi", "daphne", "weblogic", "jboss", "wildfly", "caddy"]
+
+
+def described_processes(processes: DataFrame) -> DataFrame:
+    """A process inventory with ``web_related``, from ``name`` and ``command_line``."""
+    return processes.withColumn("web_related", contains_any(F.concat(text(F.col("name")), F.lit(" "), text(F.col("command_line"))), WEB_PROCESS_WORDS))
+
+
+def described_connections(connections: DataFrame) -> DataFrame:
+    """A network inventory with ``remote_class`` of ``remote_address``; NULL where there is none."""
+    return connections.withColumn("remote_class", F.when(text(F.col("remote_address")) != "", socket_class(F.col("remote_address"))))
+
+
+def earlier_findings(spark: SparkSession, path: str) -> DataFrame:
+    """Findings that an earlier run has written as JSON lines and committed."""
+    return read_committed(spark, path, FINDING)
+
+
 # Accepted indicator type names.
 IOC_TYPES = {
     "ip": "ip", "cidr": "cidr", "domain": "domain", "host": "domain", "url": "url_path", "url_path": "url_path", "path": "url_path",

@@ -7,9 +7,9 @@ from typing import Any
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tracelight.functions.net import ip_key, is_v4_key
 from tracelight.functions.text import domain_host
@@ -49,21 +49,16 @@ class LateSplitter:
     """``foreachBatch`` sink that sets late rows aside and appends bucket counts of the rest.
 
     A row is late when it is more than ``delay_seconds`` older than the newest event time of earlier
-    batches. The newest time is kept in a table next to the results, one row per batch, so a restarted
-    stream and a repeated batch decide the same way; every batch overwrites its own folder.
+    batches. A batch keeps the newest time seen so far next to its results, and the next one reads that
+    row alone, so a restarted stream and a repeated batch decide the same way; every batch overwrites
+    its own folder. ``compact`` gathers the late rows of finished batches.
     """
 
     def __init__(self, root: str, keys: list[str], delay_seconds: int = 600) -> None:
         self.root, self.keys, self.delay = root.rstrip("/"), keys, delay_seconds
 
     def _newest_before(self, spark: SparkSession, batch_id: int) -> Any:
-        try:
-            seen = spark.read.parquet(f"{self.root}/newest")
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":  # the first batch finds no table
-                return None
-            raise
-        return seen.where(F.col("batch_id") < batch_id).agg(F.max("newest")).head()[0]
+        return spark.read.parquet(f"{self.root}/newest/batch_id={batch_id - 1}").head()[0] if batch_id else None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -75,7 +70,7 @@ class LateSplitter:
         flagged.where("not _late").groupBy(bucket, *self.keys).agg(
             F.count(F.lit(1)).alias("match_count"), F.max("score").alias("score")
         ).write.mode("overwrite").parquet(f"{self.root}/counts/batch_id={batch_id}")
-        flagged.agg(F.max(F.unix_micros("event_time")).alias("newest")).write.mode("overwrite").parquet(f"{self.root}/newest/batch_id={batch_id}")
+        flagged.agg(F.greatest(F.max(F.unix_micros("event_time")), F.lit(newest).cast("bigint")).alias("newest")).write.mode("overwrite").parquet(f"{self.root}/newest/batch_id={batch_id}")
         flagged.unpersist()
 
     def totals(self, spark: SparkSession) -> DataFrame:
@@ -84,18 +79,35 @@ class LateSplitter:
             F.sum("match_count").alias("match_count"), F.max("score").alias("score"))
 
     def late(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.root}/late")
+        """Late rows of all batches: the newest gathered table and the batches behind it."""
+        rows, upto = spark.read.parquet(f"{self.root}/late"), self._gathered(spark)
+        if upto is None:
+            return rows
+        base = spark.read.parquet(f"{self.root}/late_base/upto={upto}")
+        return base.unionByName(rows.where(F.col("batch_id") > upto))
+
+    def _gathered(self, spark: SparkSession) -> int | None:
+        try:
+            return spark.read.parquet(f"{self.root}/late_base").agg(F.max("upto")).head()[0]
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":  # nothing was gathered yet
+                return None
+            raise
+
+    def compact(self, spark: SparkSession, upto: int, files: int = 1) -> None:
+        """Gather the late rows of batches up to ``upto`` in a few files; readers go on to them when the table is whole."""
+        self.late(spark).where(F.col("batch_id") <= upto).coalesce(files).write.mode("overwrite").parquet(f"{self.root}/late_base/upto={upto}")
 
 
 _BRUTE_OUT = "source string, kind string, first_failure_ms bigint, at_ms bigint"
-_BRUTE_STATE = "failures array<bigint>, first_failure bigint, reported int"
+_STEP_MS = 60_000
 
 
 def _advance(failures: list[int], first: int, reported: int, at: int, failed: bool) -> tuple[list[int], int, int, str | None]:
-    """One attempt: the last failures, the first failure once triggered, what has been reported."""
+    """One attempt, in order of time: the last failures, the first failure once triggered, what has been reported."""
     event = None
     if failed:
-        failures = sorted([*failures, at])[-THRESHOLD:]
+        failures = [*failures, at][-THRESHOLD:]
         if reported == 0 and len(failures) == THRESHOLD and failures[-1] - failures[0] <= WINDOW_MS:
             first, reported, event = failures[0], 1, "triggered"
     elif reported == 1 and first <= at <= first + WINDOW_MS:
@@ -103,33 +115,75 @@ def _advance(failures: list[int], first: int, reported: int, at: int, failed: bo
     return failures, first, reported, event
 
 
-def _track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per source: at most five failure times are kept, whatever the traffic."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    failures, first, reported = state.get if state.exists else ([], -1, 0)
-    failures = list(failures)
-    out, newest = [], None
-    for batch in batches:
-        for at, failed in batch.sort_values("at_ms")[["at_ms", "failed"]].itertuples(index=False):
-            failures, first, reported, event = _advance(failures, first, reported, int(at), bool(failed))
-            newest = int(at) if newest is None else max(newest, int(at))
-            if event:
-                out.append((key[0], event, first, int(at)))
-    state.update((failures, first, reported))
-    if newest is not None:
-        state.setTimeoutTimestamp(max(newest + 2 * WINDOW_MS, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(out, columns=["source", "kind", "first_failure_ms", "at_ms"])
+class BruteForceWatch(StatefulProcessor):
+    """Attempts of one source wait in a map by their time until the watermark has passed them, and are then taken in order.
+
+    So neither the order of arrival nor the cut into batches matters. The map holds counts per millisecond, for the delay of
+    the watermark at most, whatever the traffic; beside it five failure times. A timer at the end of each minute that has
+    attempts takes them; a last one drops the state twenty minutes after the last attempt. Attempts that come behind the
+    watermark are given out as ``late`` instead of being lost.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at_ms bigint", "failed bigint, passed bigint")
+        self.known = handle.getValueState("known", "failures array<bigint>, first bigint, reported int, newest bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        timers = set(self.handle.listTimers())
+        for batch in rows:
+            late = batch[batch["at_ms"] < mark]
+            if len(late):
+                yield pd.DataFrame({"source": key[0], "kind": "late", "first_failure_ms": -1, "at_ms": late["at_ms"].astype("int64")})
+            counts = batch[batch["at_ms"] >= mark].groupby("at_ms")["failed"].agg(["sum", "count"])
+            for at, failed, n in counts.itertuples():
+                slot = (int(at),)
+                held = self.waiting.getValue(slot) if self.waiting.containsKey(slot) else (0, 0)
+                self.waiting.updateValue(slot, (held[0] + int(failed), held[1] + int(n - failed)))
+                timer = (int(at) // _STEP_MS + 1) * _STEP_MS
+                if timer not in timers:
+                    timers.add(timer)
+                    self.handle.registerTimer(timer)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = expiredTimerInfo.getExpiryTimeInMs()
+        failures, first, reported, newest = self.known.get() if self.known.exists() else ([], -1, 0, -1)
+        failures, out = list(failures), []
+        due = sorted((k[0], v[0], v[1]) for k, v in self.waiting.iterator() if k[0] < until)
+        for at, failed, passed in due:
+            # of equal times failures come first; more than the threshold at once change nothing
+            for is_failure in [True] * min(failed, THRESHOLD) + [False] * min(passed, 1):
+                failures, first, reported, event = _advance(failures, first, reported, at, is_failure)
+                if event:
+                    out.append((key[0], event, first, at))
+            self.waiting.removeKey((at,))
+            newest = at
+        if due:
+            self.known.update((failures, first, reported, newest))
+            self.handle.registerTimer(newest + 2 * WINDOW_MS + 1)
+        elif newest + 2 * WINDOW_MS < until:
+            self.known.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["source", "kind", "first_failure_ms", "at_ms"])
+
+    def close(self) -> None:
+        pass
 
 
 def stream_brute_force(attempts: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Alerts per source from ``source, event_time, failed``: when five failures fall in ten minutes, and when a success follows.
 
-    State is dropped twenty minutes of event time after the last attempt.
+    Alerts come when the watermark has passed the attempt that causes them, in order of time; ``late`` rows are attempts
+    behind the watermark. Needs the RocksDB state store, which ``use_state_store`` sets.
     """
-    timed = attempts.withWatermark("event_time", delay).withColumn("at_ms", F.unix_millis("event_time"))
-    return timed.groupBy("source").applyInPandasWithState(_track, _BRUTE_OUT, _BRUTE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    timed = attempts.withWatermark("event_time", delay).select("source", "failed", F.unix_millis("event_time").alias("at_ms"))
+    return timed.groupBy("source").transformWithStateInPandas(BruteForceWatch(), _BRUTE_OUT, "Append", "EventTime")
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """The state store that map state and timers need, for queries started afterwards."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def indicator_keys(indicators: DataFrame) -> DataFrame:
