@@ -242,3 +242,15 @@ def test_toxicity_edges(spark):
     none = score(docs, fit(docs, labels.limit(0))).collect()
     assert {r.score for r in none} == {0.0} or max(r.score for r in none) < 1e-9
     assert score(docs.limit(0), fit(docs, labels.where("toxic = 1"))).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 7, 100, 5000])
+def test_most_telling(spark, most):
+    from tracelight.llm.toxicity import most_telling
+
+    random = np.random.default_rng(most)
+    rows = [(int(g), float(c)) for g, c in zip(random.permutation(3000), np.round(random.exponential(3, 3000), 1))]
+    table = spark.createDataFrame(rows, "gram long, chi double").repartition(30)
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))[:most]
+    assert [(r.gram, r.chi) for r in most_telling(table, most).collect()] == want
+    assert most_telling(table.limit(0), most).count() == 0

@@ -29,7 +29,7 @@ def test_forest_with_copies_and_bad_rows(spark):
     rows = [(i, v.tolist(), 1, float(i)) for i, v in enumerate(vectors)]
     bad = [(400, None), (420, [0.0] * 12), (440, [float("nan")] + [1.0] * 11), (460, [1.0] * 11 + [None]), (480, [1.0] * 5), (None, [1.0] * 12), (500, []), (520, [float("inf")] + [0.0] * 11)]
     df = spark.createDataFrame(rows + [(i, v, 1, 0.0) for i, v in bad] + rows[:3], "vec_id long, embedding array<float>, rank int, score double")
-    got, want = found(nearest(df, trees=6, reach=500)), brute.nearest(list(range(400)), vectors)
+    got, want = found(nearest(df, trees=6, reach=10_000, block_rows=64)), brute.nearest(list(range(400)), vectors)
     assert got.keys() == want.keys()
     for q in want:
         assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
@@ -38,41 +38,51 @@ def test_forest_with_copies_and_bad_rows(spark):
     assert found(nearest(df.where("vec_id < 5"))).get(0) is not None and len(found(nearest(df.where("vec_id < 5")))[0]) == 4
 
 
-def test_forest_recall(spark):
+def exact(spark, vectors, every=20):
+    return spark.createDataFrame([(q, i) for q, best in brute.nearest(list(range(len(vectors))), vectors, every).items() for i, _ in best], "query_id long, vec_id long")
+
+
+@pytest.mark.parametrize("kind", ["groups", "none", "tight"])
+def test_forest_recall(spark, kind):
+    """What the trees offer, and nothing else, holds nine tenths of the true neighbours: in groups, without structure, with a third of all rows almost equal."""
     from tracelight.llm.forest import nearest, recall
 
     random = np.random.default_rng(9)
-    centers = random.normal(size=(40, 32))
-    vectors = (centers[random.integers(0, 40, 5000)] + 0.4 * random.normal(size=(5000, 32))) * random.uniform(0.5, 2, (5000, 1))
+    n, d = 5000, 32
+    vectors = random.normal(size=(n, d))
+    if kind == "groups":
+        vectors = (random.normal(size=(40, d))[random.integers(0, 40, n)] + 0.4 * vectors) * random.uniform(0.5, 2, (n, 1))
+    if kind == "tight":
+        vectors[: n // 3] = vectors[0] + 1e-9 * vectors[: n // 3]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
-    got = nearest(df, trees=24, reach=128, candidates=24 * 128)
-    exact = spark.createDataFrame([(q, i) for q, best in brute.nearest(list(range(5000)), vectors).items() for i, _ in best], "query_id long, vec_id long")
-    assert recall(got, exact) >= 0.9
-
-
-@pytest.mark.parametrize("n", [3000, 9000])
-def test_forest_is_whole_at_a_small_reach(spark, monkeypatch, n):
-    """Vectors without structure and trees that offer a small share of the table: nothing is missed at any size."""
+    got = nearest(df, block_rows=256)
+    rows = found(got)
+    assert len(rows) == n // 20 and all(len(r) == 20 for r in rows.values())
+    for q, best in rows.items():
+        assert [s for _, s in best] == pytest.approx([float((vectors[i] * vectors[q]).sum()) for i, _ in best], rel=1e-12)
+        assert best == sorted(best, key=lambda b: (-b[1], b[0])) and q not in [i for i, _ in best]
+    if kind == "tight":  # which of the equal ones is nearest is a matter of the last digits: compare by score
+        want = brute.nearest(list(range(n)), vectors)
+        assert np.mean([b[1] >= w[-1][1] - 1e-9 for q, w in want.items() for b in rows[q]]) >= 0.9
+    else:
+        assert recall(got, exact(spark, vectors)) >= 0.9
+
+
+def test_forest_searches_few_rows_of_groups(spark):
+    """In grouped vectors the fitted search offers a small share of all rows."""
     from tracelight.llm import forest
 
-    monkeypatch.setattr(forest, "PASS_VALUES", 30_000)
-    vectors = np.random.default_rng(n).normal(size=(n, 64))
-    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-    vectors[n // 2 : n // 2 + 30] = vectors[40]  # ties at the border
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
-    got = found(forest.nearest(df, every=60, trees=3, reach=16, candidates=48))
-    want = {q: best for q, best in brute.nearest(list(range(n)), vectors).items() if q % 60 == 0}
-    assert got.keys() == want.keys()
-    for q in want:
-        assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
-
-
-def test_prefix_length():
-    from tracelight.llm.forest import STRING_BITS, prefix_length
-
-    a = np.array([0, 0, 5, 1 << 62], np.int64)
-    b = np.array([0, 1, 4, 0], np.int64)
-    assert prefix_length(a, b).tolist() == [STRING_BITS, STRING_BITS - 1, STRING_BITS - 1, 0]
+    random = np.random.default_rng(12)
+    vectors = random.normal(size=(200, 24))[random.integers(0, 200, 6000)] + 0.2 * random.normal(size=(6000, 24))
+    entries = spark.createDataFrame([(int(random.integers(-(1 << 62), 1 << 62)), v.tolist(), i % 20 == 0) for i, v in enumerate(vectors)], "rep long, v array<double>, asks boolean")
+    fitted = forest._fitted(entries, 6000, float(np.linalg.norm(vectors, axis=1).max()), 32, 7, 256)
+    steps = forest._calibrated(entries, fitted, 20, 0.93)
+    assert 1 <= steps < 0.03 * 6000, steps  # rows to a side, of a sketch that holds all rows
+    own, codes = fitted.codes(vectors[:40], False), fitted.codes(vectors, True)
+    low, high = fitted.intervals(own, steps)
+    inside = (codes[None] >= low[:, None]) & (codes[None] <= high[:, None])
+    assert np.array_equal(inside.any(axis=2), fitted.steps(own, np.broadcast_to(codes, (40, *codes.shape))) <= steps)
+    assert np.median(inside.sum(axis=1)) <= 2 * steps + 2  # equal strings at a border come along
 
 
 URLS = [None, "", "no scheme", "http://a.net/x", "HTTP://Sub.Example.NET/en/1?q#f", "https://example.com/de/", "https://x.example.com/de", "http://w.org/fr/a", "http://w.org/fr",
