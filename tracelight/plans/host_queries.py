@@ -103,7 +103,7 @@ def web_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.described_processes(web_view(spark, sf_dir).select("event_id", name.alias("name"), command.alias("command_line"))).select("event_id", "web_related")
 
 
-_FROM, _TO = "1970-02-02T20:00:00Z", "1970-02-03T02:30:00Z"
+_FROM, _TO = "1970-02-02T21:10:00Z", "1970-02-02T21:40:00Z"
 
 
 @query("collection_window", "FLT-04", f"""
