@@ -16,8 +16,8 @@ whole search is in the README.
 On Spark. Inner products are made angles by one more dimension that lifts all rows to the norm of the longest. Equal vectors
 are one entry, which keeps its 21 smallest ids: no result needs more. Tree rows hold tree, string and the entry's place, no
 vectors. A query goes, as two strings, to the pieces of the arrays that its intervals touch; what they offer comes back as
-short numbers, one list for each block of entries; the lists of all trees are united and go, with the query's vector, to
-the blocks, where they are scored. Blocks follow the order of the first tree, so near rows lie together.
+short numbers, one list for each piece; the lists of all trees are united by block of entries and go, with the query's
+vector, to the blocks, where they are scored. Blocks follow the order of the first tree, so near rows lie together.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from tracelight.llm.common import Scratch, written
 TREES = 40
 STRING_BITS = 63
 BLOCK_ROWS = 4096
+HELD_PLACES = 1 << 22  # places that a task gathers before it passes them on
 FIT_ROWS, FIT_QUERIES, TARGET = 1 << 14, 128, 0.93
 _LAST = (1 << 63) - 1
 
@@ -261,13 +262,13 @@ def _search(entries: DataFrame, forest: Forest, steps: int, most: int, scratch:
     ordered = both.repartition("tree", "piece").sortWithinPartitions("tree", "piece", F.col("block") < 0, "low")
 
     def offered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What each interval holds, as places in blocks of entries: a list for each query and block."""
+        """What each interval holds in each piece, as places in blocks of entries: one list."""
         piece, codes, blocks, places, ready = None, [], [], [], None
         for batch in parts:
             cols = [c.to_numpy() for c in batch.columns]
             key = cols[0].astype(np.int64) << 40 | cols[1]
             edges = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | ((cols[5][1:] < 0) != (cols[5][:-1] < 0))) + 1, [len(key)]]) if len(key) else [0]
-            reps, at, lists = [], [], []
+            reps, lists, held = [], [], 0
             for a, b in zip(edges[:-1], edges[1:]):
                 if key[a] != piece:
                     piece, codes, blocks, places, ready = key[a], [], [], [], None
@@ -285,47 +286,50 @@ def _search(entries: DataFrame, forest: Forest, steps: int, most: int, scratch:
                     if i < j:
                         block, place = ready[1][i:j], ready[2][i:j]
                         order = np.argsort(block, kind="stable")
-                        block, place = block[order], place[order].astype("<u4")
-                        cut = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [j - i]])
-                        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                            reps.append(rep)
-                            at.append(int(block[x]))
-                            lists.append(_packed(place[x:y]))
-                    if len(reps) >= 4096:
-                        yield _offers(reps, at, lists)
-                        reps, at, lists = [], [], []
+                        reps.append(rep)
+                        lists.append(_packed_by_block(block[order], place[order]))
+                        held += j - i
+                    if len(reps) >= 4096 or held >= HELD_PLACES:
+                        yield _offers(reps, lists)
+                        reps, lists, held = [], [], 0
             if reps:
-                yield _offers(reps, at, lists)
+                yield _offers(reps, lists)
 
-    offers = ordered.mapInArrow(offered, "rep long, block long, places binary")
-    kinds = offers.select("rep", F.lit(1).alias("kind"), "block", "places", F.lit(None).cast(kind).alias("v")).unionByName(
-        asked.select("rep", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("block"), F.lit(None).cast("binary").alias("places"), "v"))
+    offers = ordered.mapInArrow(offered, "rep long, places binary")
+    kinds = offers.select("rep", F.lit(1).alias("kind"), "places", F.lit(None).cast(kind).alias("v")).unionByName(
+        asked.select("rep", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("places"), "v"))
 
     def united(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One list for each query and block over all trees, with the query's vector."""
-        rep = vector = block = None
-        held: list[np.ndarray] = []
+        """One list for each query and block over all trees, with the query's vector; a very long one comes in parts."""
+        rep = vector = None
+        held: dict[int, list[np.ndarray]] = {}
+        places = 0
+
+        def lists() -> list[tuple]:
+            return [(block, rep, vector, _packed(np.unique(np.concatenate(some)))) for block, some in held.items()]
+
+        out: list[tuple] = []
+        shape = None
         for batch in parts:
-            out: list[tuple] = []
-            for r, k, b, p, v in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
-                if held and (r, b) != (rep, block):
-                    out.append((block, rep, vector, _packed(np.unique(np.concatenate(held)))))
-                    held = []
+            shape = batch.schema.field(3).type
+            for r, k, p, v in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+                if held and (r != rep or places >= HELD_PLACES):
+                    out += lists()
+                    held, places = {}, 0
                 if not k:
-                    rep, vector, block = r, v.as_py(), None
+                    rep, vector = r, v.as_py()
                     continue
-                block = b
-                held.append(_unpacked(p))
+                for block, some in _unpacked_by_block(p):
+                    held.setdefault(block, []).append(some)
+                    places += len(some)
                 if len(out) >= 2048:
-                    yield _united(out, batch.schema.field(4).type)
+                    yield _united(out, shape)
                     out = []
-            if out:
-                yield _united(out, batch.schema.field(4).type)
-            kind_of = batch.schema.field(4).type
-        if held:
-            yield _united([(block, rep, vector, _packed(np.unique(np.concatenate(held))))], kind_of)
+        out += lists()
+        if out:
+            yield _united(out, shape)
 
-    lists = kinds.repartition("rep").sortWithinPartitions("rep", "kind", "block").select("rep", "kind", "block", "places", "v").mapInArrow(united, f"block long, rep long, v {kind}, places binary")
+    lists = kinds.repartition("rep").sortWithinPartitions("rep", "kind").select("rep", "kind", "places", "v").mapInArrow(united, f"block long, rep long, v {kind}, places binary")
     empty = F.lit(None).cast("array<long>")
     at_blocks = table.select("block", F.lit(0).alias("kind"), "local", "rep", "ids", "v", F.lit(None).cast("binary").alias("places")).unionByName(
         lists.select("block", F.lit(1).alias("kind"), F.lit(0).alias("local"), "rep", empty.alias("ids"), "v", "places"))
@@ -380,8 +384,21 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u2" if data[0] == 2 else "<u4", offset=1).astype(np.uint32)
 
 
-def _offers(reps: list[int], blocks: list[int], lists: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(blocks, pa.int64()), pa.array(lists, pa.binary())], names=["rep", "block", "places"])
+def _packed_by_block(block: np.ndarray, place: np.ndarray) -> bytes:
+    """Places, ascending by block: how many blocks, the blocks, how many places each has, the places."""
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1])
+    sizes = np.diff(np.append(cut, len(block)))
+    return len(cut).to_bytes(4, "little") + block[cut].astype("<i8").tobytes() + sizes.astype("<u4").tobytes() + _packed(place)
+
+
+def _unpacked_by_block(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    n = int.from_bytes(data[:4], "little")
+    blocks, sizes = np.frombuffer(data, "<i8", n, 4), np.frombuffer(data, "<u4", n, 4 + 8 * n)
+    yield from zip(blocks.tolist(), np.split(_unpacked(data[4 + 12 * n :]), np.cumsum(sizes)[:-1]))
+
+
+def _offers(reps: list[int], lists: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(lists, pa.binary())], names=["rep", "places"])
 
 
 def _united(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
