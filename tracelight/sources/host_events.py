@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelight.functions.frames import settled
 from tracelight.functions.text import extract, sha256_hex
 from tracelight.functions.times import audit_iso, instant, micros_iso, syslog_iso
 from tracelight.functions.values import let
@@ -20,7 +21,11 @@ _AUDIT_PAIR = r"""([A-Za-z0-9_]+)=("[^"]*"|'[^']*'|\S+)"""
 
 def single_spaced(value: Column) -> Column:
     """The whole text with every run of white space as one space; rules read it, displays may cut it."""
-    return F.trim(F.regexp_replace(value, r"\s+", " "))
+    def spaced(v: Column) -> Column:
+        uneven = v.rlike(r"\s(?:(?<! )|(?= ))")  # a long text that is single-spaced already is not rebuilt
+        return F.trim(F.when(uneven, F.regexp_replace(v, r"\s+", " ")).otherwise(v))
+
+    return let(value, spaced)
 
 
 def _user_from_uid(uid: Column) -> Column:
@@ -230,10 +235,13 @@ def windows_result(code: Column) -> Column:
 
 
 def decode_xml(value: Column) -> Column:
-    decoded = F.trim(value)
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&apos;", "'")):
-        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-    return decoded
+    def decode(v: Column) -> Column:
+        decoded = v
+        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&apos;", "'")):
+            decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+        return F.when(v.contains("&"), decoded).otherwise(v)
+
+    return let(F.trim(value), decode)
 
 
 def read_terminated(spark: SparkSession, path: str, terminator: str, encoding: str = "UTF-8") -> DataFrame:
@@ -270,31 +278,45 @@ def _windows_columns(df: DataFrame, carry: list[str]) -> DataFrame:
 
 def parse_windows_xml(records: DataFrame) -> Parsed:
     """``<Event>`` blocks: rows ``(source_file, value, start_line)`` cut at ``</Event>``."""
-    blocks = records.withColumn("_lead", F.regexp_extract("value", r"(?is)^(.*?)<Event\b", 1)).withColumn(
-        "_text", F.concat(extract(F.col("value"), r"(?is)(<Event\b.*)$"), F.lit("</Event>"))
-    ).where(F.col("_text").isNotNull())
-    blocks = blocks.withColumn(
-        "line_number", F.col("start_line") + F.length("_lead") - F.length(F.replace("_lead", F.lit("\n"), F.lit("")))
-    )
+    found = settled(records, ["source_file", "start_line", "value", F.regexp_extract("value", r"(?is)^(.*?)<Event\b", 0).alias("_lead")])
+    before = F.length("_lead") - len("<Event")  # characters before the block
+    lead = F.substr("_lead", F.lit(1), before)
+    blocks = settled(found.where(F.col("_lead") != ""), [
+        F.col("source_file"), (F.col("start_line") + F.length(lead) - F.length(F.replace(lead, F.lit("\n"), F.lit("")))).alias("line_number"),
+        F.concat(F.substr("value", before + 1), F.lit("</Event>")).alias("_text"),
+    ])
+    # one pass says which names occur; the others are not searched: long blocks lack most of them
+    named = F.regexp_extract_all("_text", F.lit(r"(?i)<(EventID|Channel|Computer|Level|Provider|TimeCreated)\b"), F.lit(1))
+    blocks = settled(blocks, [*blocks.columns, F.transform(named, F.lower).alias("_names")])
     block = F.col("_text")
+    first = lambda element, pattern: F.when(F.array_contains("_names", element.lower()), F.regexp_extract(block, pattern, 1))
     tag = lambda name: let(
-        decode_xml(extract(block, rf"(?is)<{name}\b[^>]*>(.*?)</{name}>")), lambda v: F.when(F.trim(v) != "", v)
+        decode_xml(first(name, rf"(?is)<{name}\b[^>]*>(.*?)</{name}>")), lambda v: F.when(F.trim(v) != "", v)
+    )
+    attribute = lambda element, name: let(
+        first(element, rf"(?is)<{element}\b[^>]*\b{name}\s*=\s*[\"']([^\"']+)[\"']"), lambda v: F.when(v != "", decode_xml(v))
     )
-    attribute = lambda element, name: decode_xml(extract(block, rf"(?is)<{element}\b[^>]*\b{name}\s*=\s*[\"']([^\"']+)[\"']"))
-    pattern = r"(?is)<Data\b[^>]*\bName\s*=\s*[\"']([^\"']+)[\"'][^>]*>(.*?)</Data>"
+    # elements are cut out once; key and value are then places in the element
+    head, close = r"(?is)<Data\b[^>]*\bName\s*=\s*[\"']([^\"']+)[\"'][^>]*>", "</Data>"
+
+    def entry(element: Column, opening: Column) -> Column:
+        inside = F.length(element) - F.length(opening) - len(close)
+        return F.struct(F.lower(decode_xml(F.regexp_extract(opening, head, 1))).alias("key"),
+                        decode_xml(F.substr(element, F.length(opening) + 1, inside)).alias("value"))
+
+    def opened(element: Column) -> Column:  # a quoted name may run into the closing mark, then the shorter opening holds
+        return let(F.regexp_extract(element, head, 0), lambda o: F.when(F.length(o) + len(close) <= F.length(element), o).otherwise(
+            F.regexp_extract(element, rf"{head}(?=.*{close})", 0)))
+
     entries = F.filter(
-        F.arrays_zip(
-            F.transform(F.regexp_extract_all(block, F.lit(pattern), F.lit(1)), lambda v: F.lower(decode_xml(v))).alias("key"),
-            F.transform(F.regexp_extract_all(block, F.lit(pattern), F.lit(2)), decode_xml).alias("value"),
-        ),
+        F.transform(F.regexp_extract_all(block, F.lit(rf"{head}[^<]*+.*?{close}"), F.lit(0)), lambda e: let(opened(e), lambda o: entry(e, o))),
         lambda e: (e["key"] != "") & (e["value"] != ""),
     )
     staged = blocks.select(
         "source_file", "line_number", "_text", attribute("Provider", "Name").alias("provider"), tag("EventID").alias("event_code"),
         attribute("TimeCreated", "SystemTime").alias("timestamp"), tag("Channel").alias("channel"),
         tag("Computer").alias("computer"), tag("Level").alias("severity"), _last_wins(entries).alias("_data"),
-        F.when(tag("EventID").isNull(), "missing EventID").alias("_error"),
-    )
+    ).withColumn("_error", F.when(F.col("event_code").isNull(), "missing EventID"))
     return _windows_done(_windows_columns(staged, ["source_file", "line_number", "_text"]))
 
 
