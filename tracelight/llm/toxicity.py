@@ -27,6 +27,7 @@ BUCKET_BITS = 18
 MAX_FIT_ROWS = 20_000
 N_FEATURES = 4096
 THRESHOLD = 0.3
+SCORE_ROWS = 256
 
 
 def held_out(id_col: str) -> Column:
@@ -207,6 +208,15 @@ def _logistic(lists: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, epochs:
     return w, float(bias)
 
 
+def scored_parts(batch: pa.RecordBatch, text: int, model: ToxicityModel) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
+    """The columns of a batch but its texts, and scores, a few rows at a time: carried texts of a whole batch are not copied at once."""
+    for start in range(0, batch.num_rows, SCORE_ROWS):
+        part = batch.slice(start, SCORE_ROWS)
+        texts = part.column(text).to_pylist()
+        scores = [model.scores(texts[a:b]) for a, b in slices(texts, 250_000)]
+        yield [c for i, c in enumerate(part.columns) if i != text], np.concatenate(scores)
+
+
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: ``doc_id, held_out``, carried columns, ``score`` (0 to 1), ``predicted`` (1 from ``threshold`` on).
 
@@ -219,10 +229,8 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text: s
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            texts = batch.column(2).to_pylist()
-            scores = [model.scores(texts[a:b]) for a, b in slices(texts, 1_000_000)]
-            columns = [c for i, c in enumerate(batch.columns) if i != 2]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=schema.names)
+            for columns, scores in scored_parts(batch, 2, model):
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(scores)], names=schema.names)
 
     out = slim.mapInArrow(run, schema)
     return out.select(F.col("_id").alias("doc_id"), F.col("_held").alias("held_out"), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(extra)],
