@@ -1,7 +1,7 @@
 """Files read by byte ranges: chunks, fixed-size records and terminated records of files of any size.
 
-A Python data source whose tasks are ranges of bytes. A large file is many tasks and many small files are one; no row holds
-a whole file, so there is no 2 GiB ceiling. A record belongs to the range in which it starts and is read on beyond the
+A Python data source whose tasks read ranges of bytes. A large file is many tasks and many small files are one; small ranges
+of a file share a task, too, and are counted apart in it. No row holds a whole file, so there is no 2 GiB ceiling. A record belongs to the range in which it starts and is read on beyond the
 range's end. Conditions on ``path``, ``name`` and ``size`` are taken over by the source and prune files before any is opened.
 
 Files are reached through Arrow's file systems (local, HDFS and object stores that it knows).
@@ -28,6 +28,7 @@ from tracelight.functions.frames import joined_narrow
 RANGE_BYTES = 64 << 20
 CHUNK_BYTES = 4 << 20
 _BUFFER = 1 << 20
+_BEYOND = 4 << 10  # first step beyond a range's end, doubled with each further one
 SCHEMA = "path string, name string, size long, modified_at timestamp, range_start long, offset long, lines_before long, content binary"
 
 _TESTS: dict[type, Callable[[object, object], bool]] = {
@@ -45,7 +46,7 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 
 @dataclass
 class Range(InputPartition):
-    """Pieces ``(path, size, modified, start, end)`` that one task reads one after the other."""
+    """Pieces ``(path, size, modified, start, end)`` that one task reads one after the other; a piece is one range or several."""
 
     pieces: list[tuple[str, int, float, int, int]]
 
@@ -82,6 +83,9 @@ class RangeReader(DataSourceReader):
         self.chunk, self.overlap, self.record = (int(options.get(k, d)) for k, d in (("chunk", CHUNK_BYTES), ("overlap", 0), ("record", 1)))
         self.terminator = bytes.fromhex(options.get("terminator", ""))
         self.range_bytes = int(options.get("rangebytes", options.get("rangeBytes", RANGE_BYTES)))
+        self.tasks = int(options.get("tasks", 0))  # ranges share tasks as long as there are that many; 0: each is its own
+        align = {"chunks": self.chunk, "records": self.record}.get(self.mode, 1)
+        self.step = max(align, self.range_bytes - self.range_bytes % align)
         self.pattern = options.get("namepattern", options.get("namePattern"))
         self.filters: list[tuple[type, str, object]] = []
         if self.mode == "terminated" and (not self.terminator or has_border(self.terminator)):
@@ -111,21 +115,24 @@ class RangeReader(DataSourceReader):
                     yield prefix + f.path, f.size, f.mtime.timestamp() if f.mtime else 0.0
 
     def partitions(self) -> Sequence[InputPartition]:
-        align = {"chunks": self.chunk, "records": self.record}.get(self.mode, 1)
-        return [Range(pieces) for pieces in cut(self._files(), max(self.range_bytes, 1), align)] or [Range([])]
+        files = list(self._files())
+        share = min(RANGE_BYTES, sum(size for _, size, _ in files) // self.tasks) if self.tasks else 0
+        run = self.step * max(1, share // self.step)  # whole ranges
+        return [Range(pieces) for pieces in cut(files, run, self.step)] or [Range([])]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
-        for path, size, modified, start, end in partition.pieces:
+        for path, size, modified, first, last in partition.pieces:
             system, inner = opened(path)
             with system.open_input_file(inner) as file:
-                for offset, lines, content in getattr(self, f"_{self.mode}")(file, size, start, end):
-                    rows.append((path, path.rsplit("/", 1)[-1], size, int(modified * 1_000_000), start, offset, lines, content))
-                    held += len(content)
-                    if held >= _BUFFER or len(rows) >= 4096:
-                        yield _batch(rows)
-                        rows, held = [], 0
+                for start in range(first, last, self.step):
+                    for offset, lines, content in getattr(self, f"_{self.mode}")(file, size, start, min(last, start + self.step)):
+                        rows.append((path, path.rsplit("/", 1)[-1], size, int(modified * 1_000_000), start, offset, lines, content))
+                        held += len(content)
+                        if held >= _BUFFER or len(rows) >= 4096:
+                            yield _batch(rows)
+                            rows, held = [], 0
         if rows:
             yield _batch(rows)
 
@@ -148,12 +155,14 @@ class RangeReader(DataSourceReader):
         mark = self.terminator
         # a record starts at 0 and behind every terminator; the first look-back finds one that ends at the range's start
         base = max(0, start - len(mark))
-        data, at, lines = bytearray(), base, 0
+        data, at, lines, beyond = bytearray(), base, 0, _BEYOND
         begin = 0 if not start else None
 
         def more() -> bool:
-            nonlocal at
-            piece = file.read_at(min(_BUFFER, size - at), at)
+            nonlocal at, beyond
+            if at >= end:
+                beyond *= 2
+            piece = file.read_at(min(_BUFFER, max(end - at, beyond // 2), size - at), at)
             at += len(piece)
             data.extend(piece)
             return bool(piece)
@@ -204,7 +213,7 @@ class ByteRanges(DataSource):
 def _read(spark: SparkSession, paths: str | Sequence[str], mode: str, **options: object) -> DataFrame:
     spark.dataSource.register(ByteRanges)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    given = {k: str(v) for k, v in options.items() if v is not None}
+    given = {k: str(v) for k, v in options.items() if v is not None} | {"tasks": str(2 * spark.sparkContext.defaultParallelism)}
     return spark.read.format("byte_ranges").options(paths=paths if isinstance(paths, str) else "\n".join(paths), mode=mode, **given).load()
 
 
