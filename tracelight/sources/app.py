@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelight.functions.frames import joined_narrow
 from tracelight.functions.text import extract, sha256_hex
 from tracelight.functions.times import naive_iso
 from tracelight.functions.values import let
@@ -154,7 +155,8 @@ def fold_continuations(parsed: DataFrame) -> DataFrame:
     # the first event of a file may itself be a bare line that parsed; it can then own others
     owner = F.when(alone & ~F.col("_bare"), F.col("line_number"))
     first_alone = parsed.where(alone).groupBy("source_file").agg(F.min("line_number").alias("_first_event"))
-    owned = carried(parsed, {"_owner": owner}).join(first_alone, "source_file", "left")
+    # one row per file comes to the lines: a shuffle by file would put all lines of a file into one task
+    owned, _ = joined_narrow(carried(parsed, {"_owner": owner}), first_alone, ["source_file"])
     head = F.coalesce("_owner", F.when(F.col("line_number") >= F.col("_first_event"), F.col("_first_event")))
     staged = owned.withColumn("_head", head).withColumn(
         "_joins", F.col("_bare") & F.col("_head").isNotNull() & (F.col("_head") < F.col("line_number"))
