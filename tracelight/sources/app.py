@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,7 +21,8 @@ from tracelight.sources.lines import Parsed, finish, parse_cases
 REDACTED = ("logger", "exception_type", "message_summary", "request_id", "trace_id", "http_path", "user_summary")
 LINES_PER_EVENT = 1000
 _LEVEL = r"(?i)(?<![a-z0-9_/=@#])(TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL|CRITICAL)(?![a-z0-9_/=@#])"
-_EXCEPTION = r"([A-Za-z_$][A-Za-z0-9_.$]*(?:Exception|Error|Throwable))"
+_EXCEPTION = r"(?<![A-Za-z_$])([A-Za-z_$][A-Za-z0-9_.$]*(?:Exception|Error|Throwable))"  # tried once per word
+_BLANKS = " \t\n\x0b\f\r"
 
 
 def stamp(value: Column, tz_offset: str) -> Column:
@@ -30,12 +33,13 @@ def stamp(value: Column, tz_offset: str) -> Column:
 
 
 def leading_stamp(line: Column, tz_offset: str) -> Column:
-    words = F.split(F.ltrim(line), r"\s+")
-    first, second = F.get(words, F.lit(0)), F.rtrim(F.get(words, F.lit(1)), F.lit(","))
-    text = F.when(line.rlike(r"^\[[^\]]*\]"), extract(line, r"^\[([^\]]*)\]")).when(
-        first.contains("T"), F.rtrim(first, F.lit(","))
-    ).otherwise(F.concat(first, F.lit(" "), second))
-    return stamp(text, tz_offset)
+    def of_words(words: Column) -> Column:
+        first, second = F.get(words, F.lit(0)), F.rtrim(F.get(words, F.lit(1)), F.lit(","))
+        return F.when(first.contains("T"), F.rtrim(first, F.lit(","))).otherwise(F.concat(first, F.lit(" "), second))
+
+    # two words are taken off first, so that a long line is not cut up whole
+    two = F.split(F.regexp_extract(F.ltrim(line), r"^\S*(?:\s+\S*)?", 0), r"\s+")
+    return stamp(F.when(line.rlike(r"^\[[^\]]*\]"), extract(line, r"^\[([^\]]*)\]")).otherwise(let(two, of_words)), tz_offset)
 
 
 def level(line: Column) -> Column:
@@ -44,11 +48,12 @@ def level(line: Column) -> Column:
 
 
 def exception_type(line: Column) -> Column:
-    return extract(line, _EXCEPTION)
+    telling = line.contains("Exception") | line.contains("Error") | line.contains("Throwable")
+    return F.when(telling, extract(line, _EXCEPTION))
 
 
 def value_after(line: Column, *keys: str) -> Column:
-    """Value after the first key present that has one; quotes and closing brackets end it."""
+    """Value after the first key present that has one; quotes and closing brackets end it. Every key ends with an equals sign."""
 
     def one(key: str) -> Column:
         raw = F.regexp_extract(line, rf'(?is)^.*?{key}\s*(?:"([^"]*)"?|([^\s,;}}\]"][^\s,;}}\]]*))', 1)
@@ -56,7 +61,7 @@ def value_after(line: Column, *keys: str) -> Column:
         value = F.btrim(F.concat(raw, bare), F.lit("\"':"))
         return F.when(F.lower(line).contains(key.lower()) & (value != ""), value)
 
-    return F.coalesce(*[one(k) for k in keys])
+    return F.when(line.contains("="), F.coalesce(*[one(k) for k in keys]))
 
 
 def http_path(line: Column) -> Column:
@@ -65,7 +70,8 @@ def http_path(line: Column) -> Column:
         for key in ("path=", "uri=", "url=", "http_path=", "request_path=")
     ]
     from_text = extract(line, r"(?i)(?:Internal Server Error:|request(?:ed)? path:)\s*(/[^\s,;]+)")
-    return F.coalesce(*from_key, F.btrim(from_text, F.lit('"')))
+    telling = let(F.lower(line), lambda v: v.contains("internal server error:") | v.contains(" path:"))
+    return F.coalesce(*from_key, F.when(telling, F.btrim(from_text, F.lit('"'))))
 
 
 def logger(line: Column, level_name: Column) -> Column:
@@ -82,14 +88,17 @@ def logger(line: Column, level_name: Column) -> Column:
 
 
 def framework(path: Column, line: Column) -> Column:
-    where, what = F.lower(path), F.lower(line)
+    where = F.lower(path)
+    has = lambda what, *words: reduce(Column.__or__, [what.contains(w) for w in words])
+    from_line = let(F.lower(line), lambda what: (
+        F.when(has(what, "spring"), "spring").when(has(what, "django"), "django")
+        .when(has(what, "flask", "werkzeug"), "flask").when(has(what, "express", "node.js", "pm2"), "node")
+        .when(has(what, "laravel", "php"), "php").when(has(what, "asp.net", "microsoft.aspnetcore"), "aspnet")
+    ))
     return (
         F.when(where.rlike(r"spring|application\.log"), "spring").when(where.rlike("django|gunicorn|uwsgi"), "django")
         .when(where.contains("flask"), "flask").when(where.rlike("node|express|pm2"), "node")
-        .when(where.rlike("laravel|php"), "php").when(where.rlike("aspnet|stdout"), "aspnet")
-        .when(what.contains("spring"), "spring").when(what.contains("django"), "django")
-        .when(what.rlike("flask|werkzeug"), "flask").when(what.rlike(r"express|node\.js|pm2"), "node")
-        .when(what.rlike("laravel|php"), "php").when(what.rlike(r"asp\.net|microsoft\.aspnetcore"), "aspnet")
+        .when(where.rlike("laravel|php"), "php").when(where.rlike("aspnet|stdout"), "aspnet").otherwise(from_line)
     )
 
 
@@ -132,7 +141,7 @@ def _text_columns(df: DataFrame, tz_offset: str) -> DataFrame:
 
 def parse_app(lines: DataFrame, tz_offset: str = "+00:00", redact_secrets: bool = False) -> Parsed:
     """Application log lines; a line with neither timestamp nor level continues the event before it."""
-    staged = lines.withColumn("_text", F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")))
+    staged = lines.withColumn("_text", F.btrim("text", F.lit(_BLANKS)))
     bare = leading_stamp(F.col("text"), tz_offset).isNull() & level(F.col("text")).isNull()
     cases = [
         (F.col("_text").startswith("{"), lambda df: _json_columns(df, tz_offset)), (F.lit(True), lambda df: _text_columns(df, tz_offset)),
