@@ -8,10 +8,12 @@ passes each chunk through it once, however many rules there are.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from tracelight.operators.findings import base_finding
 
 CHUNK = 4 << 20
+_HELD = 1 << 16  # offsets that a task holds before they leave
 
 
 @dataclass(frozen=True)
@@ -100,20 +103,31 @@ def chunk_hits(chunks: DataFrame, rules: Iterable[LiteralRule], chunk: int) -> D
     """``path, rule_no, base, offsets``: the distinct offsets at which a literal of the rule starts, ascending, per chunk that has any."""
     literals = tuple((no, value.encode(), fold) for no, rule in enumerate(rules) for value, fold in rule.literals)
 
+    def batch_of(rows: list[tuple[str, int, int, np.ndarray]]) -> pa.RecordBatch:
+        paths, owners, bases, at = zip(*rows)
+        ends = np.cumsum([0, *map(len, at)], dtype=np.int32)
+        columns = [pa.array(paths, pa.string()), pa.array(owners, pa.int32()), pa.array(bases, pa.int64()), pa.ListArray.from_arrays(ends, np.concatenate(at))]
+        return pa.RecordBatch.from_arrays(columns, names=["path", "rule_no", "base", "offsets"])
+
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = _automata(literals)
         for batch in parts:
-            rows: list[tuple[str, int, int, list[int]]] = []
-            for path, base, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                data, found = content.as_py(), {}
+            rows, held = [], 0
+            for path, base, content in zip(*batch.columns):
+                path, base, data = path.as_py(), base.as_py(), content.as_py()
+                found: dict[int, array] = {}
                 for fold, machine in automata:
                     for stop, (length, owners) in machine.iter((_ascii_lower(data) if fold else data).decode("latin-1")):
                         if stop + 1 - length < chunk:
                             for rule in owners:
-                                found.setdefault(rule, set()).add(base + stop + 1 - length)
-                rows += [(path, rule, base, sorted(at)) for rule, at in found.items()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64())))], names=["path", "rule_no", "base", "offsets"])
+                                found.setdefault(rule, array("q")).append(base + stop + 1 - length)
+                rows += [(path, rule, base, np.unique(np.frombuffer(at, np.int64))) for rule, at in found.items()]
+                held += sum(map(len, found.values())) + 32 * len(found)  # a row costs that beside its offsets
+                if held >= _HELD:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch_of(rows)
 
     return chunks.select("path", "offset", "content").mapInArrow(scan, "path string, rule_no int, base long, offsets array<long>")
 
