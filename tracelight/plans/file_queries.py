@@ -20,6 +20,7 @@ from tracelight.sources import app, binary, host_config, host_events, ranges, si
 from tracelight.sources.lines import read_log_lines
 
 FILES = 4
+LINES_PER_PART = 100_000
 
 
 def fresh_folder(spark: SparkSession) -> str:
@@ -27,14 +28,18 @@ def fresh_folder(spark: SparkSession) -> str:
 
 
 def written_logs(rows: DataFrame) -> str:
-    """Folder with one log file for each ``file`` of ``rows(file, n, value)``, its lines in the order of ``n``."""
+    """Folder with one log for each ``file`` of ``rows(file, n, value)``, its lines in the order of ``n``.
+
+    A log is a folder of part files, in the order of their names, so that a task sorts and writes ``LINES_PER_PART`` lines.
+    """
     folder = fresh_folder(rows.sparkSession)
-    rows.repartition("file").sortWithinPartitions("file", "n").select("file", "value").write.partitionBy("file").text(folder)
+    tasks = max(1, -(-rows.count() // LINES_PER_PART))
+    rows.repartitionByRange(tasks, "file", "n").sortWithinPartitions("file", "n").select("file", "value").write.partitionBy("file").text(folder)
     return folder
 
 
 def _file_no(path: str = "source_file") -> Column:
-    return F.regexp_extract(path, r"file=[^/]*?(\d+)[^/]*/", 1).cast("bigint")
+    return F.regexp_extract(path, r"file=[^/]*?(\d+)[^/]*(?:/|$)", 1).cast("bigint")
 
 
 def _iis_rows(view: DataFrame, file: Column, switch: int) -> DataFrame:
@@ -59,7 +64,7 @@ UNION ALL SELECT file_no, line_number, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
 def iis_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each file changes its columns at a second header; lines stay in their splits."""
     file = F.concat(F.lit("u_ex"), (F.col("event_id") % FILES).cast("string"), F.lit(".log"))
-    parsed = web.parse_iis(read_log_lines(spark, written_logs(_iis_rows(web_view(spark, sf_dir), file, 300)), recursive=True))
+    parsed = web.parse_iis(read_log_lines(spark, written_logs(_iis_rows(web_view(spark, sf_dir), file, 300)), recursive=True, parts=True))
     good = parsed.events.select(_file_no().alias("file_no"), "line_number", *_HTTP, F.lit("ok").alias("outcome"))
     return good.unionByName(parsed.rejects.select(_file_no().alias("file_no"), "line_number", F.col("message").alias("outcome")), allowMissingColumns=True)
 
@@ -74,7 +79,7 @@ def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.concat(F.lit("access-"), kind.cast("string"), F.lit(".log"))
     plain = view.where(kind != 2).select(named.alias("file"), F.col("event_id").alias("n"), F.when(kind == 1, _json_line()).otherwise(clf_line()).alias("value"))
     folder = written_logs(plain.unionByName(_iis_rows(view.where(kind == 2), named, 300)))
-    events = web.parse_web(read_log_lines(spark, folder, recursive=True, name_pattern=r"\.txt$")).events
+    events = web.parse_web(read_log_lines(spark, folder, recursive=True, name_pattern=r"\.txt$", parts=True)).events
     return events.select(_file_no().alias("file_no"), "line_number", *_HTTP)
 
 
@@ -90,7 +95,7 @@ def history_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(kind == "error", F.concat(F.lit("#"), _s("sec"))).when(kind == "click", F.concat(F.lit(": "), _s("sec"), F.lit(":0;zsh "), event)).when(
         kind == "view", F.concat(F.lit("part "), event, F.lit(" \\"))).otherwise(F.concat(F.lit("run "), event))
     rows = web_view(spark, sf_dir).select(F.concat(F.lit("u"), (F.col("user_id") % 16).cast("string")).alias("file"), F.col("event_id").alias("n"), line.alias("value"))
-    found = host_config.parse_shell_history(read_log_lines(spark, written_logs(rows), recursive=True))
+    found = host_config.parse_shell_history(read_log_lines(spark, written_logs(rows), recursive=True, parts=True))
     return found.select(_file_no("history_file").alias("file_no"), "line_no", "command", "timestamp")
 
 
@@ -106,7 +111,7 @@ def talk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(F.col("k") == 1, F.concat(F.lit("1970-02-02 00:00:00 ERROR conversation "), _s("conv_id"))).otherwise(
         F.concat(F.lit("at "), F.regexp_replace("text", r"[ \t\n\r\f]+", "_"), F.lit(";")))
     rows = talk.select(F.concat(F.lit("talk-"), (F.col("conv_id") % 7).cast("string")).alias("file"), F.struct("conv_id", "k").alias("n"), line.alias("value"))
-    return app.parse_app(read_log_lines(spark, written_logs(rows), recursive=True)).events.select(F.col("message_summary").alias("message"))
+    return app.parse_app(read_log_lines(spark, written_logs(rows), recursive=True, parts=True)).events.select(F.col("message_summary").alias("message"))
 
 
 @query("xml_files", "SRC-20 SRC-27", _WIN_SQL)
@@ -127,7 +132,7 @@ def xml_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = web_view(spark, sf_dir)
     block = F.concat(F.lit("<Event>"), _s("event_id"), F.lit("\n</Event>"))
     rows = view.select(F.concat(F.lit("short-"), (F.col("event_id") % FILES).cast("string")).alias("file"), F.col("event_id").alias("n"), block.alias("value"))
-    found = ranges.read_terminated_bytes(spark, written_logs(rows), b"</Event>", range_bytes=4096)
+    found = ranges.read_terminated_bytes(spark, written_logs(rows), b"</Event>", range_bytes=4096, parts=True)
     text = F.col("content").cast("string")
     # a record begins with the line end behind the block before it
     lead = F.length(text) - F.length(F.ltrim(text, F.lit("\n")))

@@ -26,12 +26,13 @@ class Parsed:
 
 
 def read_log_lines(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False,
-                   name_pattern: str | None = None) -> DataFrame:
+                   name_pattern: str | None = None, parts: bool = False) -> DataFrame:
     """Non-blank lines of plain and gzip files, numbered from 1 within each file.
 
     Rows of one input split are contiguous, so a line number is the row's position in its split plus
     the lines of the file's earlier splits. Only one row per split is shuffled for that, counted once when
     this is called. ``_split`` stays with the lines, which lie as they were read: see ``operators.splits``.
+    With ``parts`` the files of a folder are one log, cut in the order of their names, and the folder is its ``source_file``.
     """
     reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", str(recursive).lower())
     found = reader.text(list(paths) if not isinstance(paths, str) else paths)
@@ -42,13 +43,17 @@ def read_log_lines(spark: SparkSession, paths: str | Sequence[str], recursive: b
         F.monotonically_increasing_id().alias("_row"),
     )
     splits = raw.groupBy("source_file", "_split").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy("source_file").orderBy("_split").rowsBetween(W.unboundedPreceding, -1)
+    log = F.regexp_replace("source_file", "/[^/]*$", "") if parts else F.col("source_file")
+    order = W.partitionBy(log).orderBy("source_file", "_split")
     offsets = splits.select(
-        "source_file", "_split", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+        "source_file", "_split", "_first", F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
+        *([log.alias("_log"), F.row_number().over(order).cast("long").alias("_place")] if parts else []),
     )
     numbered, stayed = joined_narrow(raw, offsets, ["source_file", "_split"], "inner")
     if not stayed:
         numbered = numbered.sortWithinPartitions("source_file", "_split", "_row")
+    if parts:
+        numbered = numbered.drop("source_file", "_split").withColumnsRenamed({"_log": "source_file", "_place": "_split"})
     line = (F.col("_row") - F.col("_first") + F.col("_offset") + 1).alias("line_number")
     return decode_lines(numbered.select("source_file", line, "value", "_split"))
 

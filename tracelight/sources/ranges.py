@@ -228,15 +228,19 @@ def read_records(spark: SparkSession, paths: str | Sequence[str], size: int, ran
     return found.select("path", "name", F.expr(f"offset div {size}").alias("record_no"), "content")
 
 
-def read_terminated_bytes(spark: SparkSession, paths: str | Sequence[str], terminator: bytes, range_bytes: int = RANGE_BYTES, name_pattern: str | None = None) -> DataFrame:
+def read_terminated_bytes(spark: SparkSession, paths: str | Sequence[str], terminator: bytes, range_bytes: int = RANGE_BYTES, name_pattern: str | None = None,
+                          parts: bool = False) -> DataFrame:
     """``path, name, size, offset, start_line, content``: records ended by ``terminator``, which they do not hold; an unended tail is one too.
 
     ``start_line`` counts the line ends before a record. A file that is one range counts by itself; of larger files, one
-    row for each range is summed over the earlier ranges and joined back, no content is moved.
+    row for each range is summed over the earlier ranges and joined back, no content is moved. With ``parts`` the files of a
+    folder are one file, cut behind line ends in the order of their names, and ``start_line`` counts through all of them.
     """
     options = {"terminator": terminator.hex(), "rangeBytes": range_bytes, "namePattern": name_pattern}
-    counts = _read(spark, paths, "newlines", **options).where(F.col("size") > range_bytes)  # files of one range are pruned
-    earlier = W.partitionBy("path").orderBy("range_start").rowsBetween(W.unboundedPreceding, -1)
-    before = counts.select("path", "range_start", F.sum("lines_before").over(earlier).alias("_before")).where("range_start > 0")
+    counts = _read(spark, paths, "newlines", **options)
+    counts = counts if parts else counts.where(F.col("size") > range_bytes)  # files of one range are pruned
+    whole = F.regexp_replace("path", "/[^/]*$", "") if parts else F.col("path")
+    earlier = W.partitionBy(whole).orderBy("path", "range_start").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select("path", "range_start", F.sum("lines_before").over(earlier).alias("_before")).where("_before is not null")
     joined, _ = joined_narrow(_read(spark, paths, "terminated", **options), before, ["path", "range_start"])
     return joined.select("path", "name", "size", "offset", (F.col("lines_before") + F.coalesce("_before", F.lit(0)) + 1).alias("start_line"), "content")
