@@ -126,7 +126,8 @@ def parse_cases(lines: DataFrame, text: str, cases: Sequence[tuple[Column, Calla
         cells = [
             (F.col(f.name).cast(f.dataType) if f.name in added else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields
         ]
-        df = parsed.select(*df.columns, F.struct(*cells).alias(f"_s{index}"))
+        # cells of other cases would be worked out from NULL text, field by field
+        df = parsed.select(*df.columns, F.when(F.col("_case") == index, F.struct(*cells)).alias(f"_s{index}"))
         structs.append(f"_s{index}")
     chosen = None
     for index, name in enumerate(structs):
